@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Left out of canonical keys: punctuation, separators, controls and format characters, white space, and letters or marks that show nothing.
-NOT_TEXT = r"[\p{P}\p{Z}\p{C}\s͏ᅟᅠ឴឵᠋-᠏ㅤ︀-️ﾠ]+"
+NOT_TEXT = r"[\p{P}\p{Z}\p{C}\s\x{34F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{3164}\x{FE00}-\x{FE0F}\x{FFA0}]+"
 #: Characters that show nothing, without white space.
-INVISIBLE = r"[\p{Cf}͏ᅟᅠ឴឵᠋-᠏ㅤ︀-️ﾠ]+"
+INVISIBLE = r"[\p{Cf}\x{34F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{3164}\x{FE00}-\x{FE0F}\x{FFA0}]+"
 
 
 def canonical(col: Column | str) -> Column:
