@@ -89,8 +89,92 @@ def p5_splits(spark: SparkSession, d: str) -> DataFrame:
     return split_groups(groups, table(spark, d, "split_shares"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    from readq.llm.cross_split_overlap import overlapping_records
+
+    pairs = overlapping_records(table(spark, d, "qde"))
+    return pairs.where("train_id <> eval_id").select(F.least("train_id", "eval_id").alias("rec_id_a"), F.greatest("train_id", "eval_id").alias("rec_id_b")).distinct()
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    from readq.llm.cross_split_overlap import overlap_report, overlapping_records
+
+    qde = table(spark, d, "qde")
+    return overlap_report(overlapping_records(qde), qde)
+
+
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    from readq.llm.reading_level import reading_levels, train
+
+    model = train(table(spark, d, "graded_passages"))
+    return reading_levels(table(spark, d, "qde").select("rec_id", "passage").where("rec_id IS NOT NULL"), model)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _levels(spark, d).groupBy("rec_id").agg(F.min("level").alias("level"))
+
+
+def p7_profile(spark: SparkSession, d: str) -> DataFrame:
+    """How demanding the corpus is: records, mean and median difficulty of each level."""
+    each = _levels(spark, d).groupBy("rec_id").agg(F.min("level").alias("level"), F.min("difficulty").alias("difficulty"))
+    return each.groupBy("level").agg(F.count("*").alias("records"), F.avg("difficulty").alias("mean_difficulty"), F.percentile_approx("difficulty", 0.5).alias("median_difficulty"))
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    from readq.llm.bpe_encoding import encode_texts
+
+    return encode_texts(table(spark, d, "documents"))
+
+
+def p9_bins(spark: SparkSession, d: str) -> DataFrame:
+    """The container of each text or piece, for each kind of container."""
+    from functools import reduce
+
+    from readq.llm.bpe_encoding import count_tokens, vocabulary
+    from readq.llm.container_packing import pack
+
+    kinds = table(spark, d, "bin_sizes").where("bin_kind IS NOT NULL AND tokenizer IS NOT NULL AND capacity > 0").orderBy("bin_kind").limit(1000).collect()
+    documents = table(spark, d, "documents")
+    sizes = {name: materialise(count_tokens(documents, path=vocabulary(name)), "sizes") for name in {k["tokenizer"] for k in kinds}}
+    parts = [pack(sizes[k["tokenizer"]], k["capacity"]).select(F.lit(k["bin_kind"]).alias("bin_kind"), "doc_id", "piece", "size", "container") for k in kinds]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "bin_kind STRING, doc_id BIGINT, piece INT, size INT, container BIGINT")
+
+
+def p9_fill(spark: SparkSession, d: str) -> DataFrame:
+    """For each kind of container: their number, the least number that could hold all tokens, and the room used."""
+    sizes = table(spark, d, "bin_sizes").groupBy("bin_kind").agg(F.max("capacity").alias("capacity"))
+    used = p9_bins(spark, d).groupBy("bin_kind", "container").agg(F.sum("size").alias("size"))
+    kinds = used.groupBy("bin_kind").agg(F.count("*").alias("containers"), F.sum("size").alias("tokens"), F.max("size").alias("fullest"))
+    least = F.ceil(F.col("tokens") / F.col("capacity")).alias("least_containers")
+    return kinds.join(sizes, "bin_kind").select("bin_kind", "capacity", "containers", least, "fullest", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 6).alias("used"))
+
+
+def _stretches(spark: SparkSession, d: str) -> DataFrame:
+    from readq.llm.language_id import fit_filter, language_stretches
+
+    documents = table(spark, d, "documents")
+    labelled = documents.select("text", "lang").union(table(spark, d, "qg_dataset").select("passage", "lang"))
+    return language_stretches(documents, fit_filter(labelled))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    from readq.llm.language_id import label_cases
+
+    return label_cases(_stretches(spark, d)).select("doc_id", "seg_no", "lang")
+
+
+def p10_stretches(spark: SparkSession, d: str) -> DataFrame:
+    return _stretches(spark, d)
+
+
+ALL = (
+    p1_found, p1_consensus, p1_judges, p2_mix, p2_shares, p3_found, p3_report, p4_found, p4_records, p5_found, p5_splits,
+    p7_found, p7_profile, p8_ids, p9_bins, p9_fill, p10_found, p10_stretches,
+)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_consensus, p1_judges, p2_mix, p2_shares, p4_found, p4_records, p5_found, p5_splits)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
