@@ -103,6 +103,22 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap_report(overlapping_records(qde), qde)
 
 
+def _defects(spark: SparkSession, d: str) -> DataFrame:
+    from readq.llm.response_defects import response_defects, train
+
+    pairs = table(spark, d, "qg_dataset").where("qg_id IS NOT NULL")
+    return response_defects(pairs, train(pairs))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _defects(spark, d).where("defect IS NOT NULL").groupBy("qg_id").agg(F.min("defect").alias("defect"))
+
+
+def p6_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs by defect; null stands for sound ones."""
+    return _defects(spark, d).distinct().groupBy("defect").agg(F.count("*").alias("pairs"))
+
+
 def _levels(spark: SparkSession, d: str) -> DataFrame:
     from readq.llm.reading_level import reading_levels, train
 
@@ -169,7 +185,7 @@ def p10_stretches(spark: SparkSession, d: str) -> DataFrame:
 
 ALL = (
     p1_found, p1_consensus, p1_judges, p2_mix, p2_shares, p3_found, p3_report, p4_found, p4_records, p5_found, p5_splits,
-    p7_found, p7_profile, p8_ids, p9_bins, p9_fill, p10_found, p10_stretches,
+    p6_found, p6_profile, p7_found, p7_profile, p8_ids, p9_bins, p9_fill, p10_found, p10_stretches,
 )
 
 
