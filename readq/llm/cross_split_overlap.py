@@ -14,17 +14,20 @@ nor questions are compared all with all, even inside one passage.
 Defined results: rows with null ids, rows of other splits, and rows whose passage or question is null or holds no word are left
 out. A repeated id counts once, with every text it came with. An empty table gives an empty result. Very long texts are scanned whole.
 
-Which runs of words make a pattern: all pairs of words in passages up to 24 words, else runs of three or four, up to RUNS of them,
+Which runs of words make a pattern: all pairs of words in passages up to 24 words, else runs of three to five, up to RUNS of them,
 drawn by a hash from those that few passages share (from the rarest on, if there are not enough). A passage in which one
-word in five was changed at random keeps 41 % of its runs of four; the chance that fewer than two of 32 are left is below 1 in 100,000.
+word in five was changed at random keeps 33 % of its runs of five; the chance that fewer than two of 32 are left is 1 in 20,000.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import pickle
 import zlib
+from collections import Counter
 from collections.abc import Iterator, Sequence
+from heapq import nsmallest
 
 import ahocorasick
 import numpy as np
@@ -32,17 +35,22 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readq.functions.text import code_name, words_text
+from readq.functions.text import code_name
 from readq.session import fresh_path, materialise
 
 KEPT = 0.8
 #: Patterns of a passage.
 RUNS = 32
-#: Words of all passages of a shard, about; each is a symbol, of which there are 1.1 million.
-SHARD_WORDS = 500_000
+#: Runs that so few passages of a shard share are drawn from alike; more widespread ones come after them, the rarer the sooner.
+RARE = 4
+#: Words of all passages of a shard, about; it bounds the memory an automaton takes.
+SHARD_WORDS = 1_200_000
+#: A worker remembers so many texts.
+REMEMBERED = 100_000
 #: Lengths within a band differ by this factor.
 BAND = 1.5
 #: Share of the words in a passage's patterns that must be found in a text before the two are compared.
@@ -75,74 +83,92 @@ def near(a: list[str], b: list[str]) -> bool:
     return a == b or common_words(a, b) >= KEPT * longer
 
 
-def symbol(n: int) -> str:
-    """The n-th symbol: code points from 256 on, without the surrogates."""
-    n += 256
-    return chr(n if n < 0xD800 else n + 0x800)
+class Symbols(dict):
+    """The symbol of each word: a code point drawn by a hash, the surrogates left out. Two words may share one, so what symbols find is
+    compared again by words."""
 
+    def __missing__(self, word: str) -> str:
+        n = 256 + zlib.crc32(word.encode()) % 1_000_000
+        self[word] = s = chr(n if n < 0xD800 else n + 0x800)
+        return s
 
-UNKNOWN = chr(1)
+    def code(self, text: str) -> str:
+        if len(self) > 500_000:
+            self.clear()
+        return "".join([self[w] for w in text.split(" ")])
 
 
 def run_length(n: int) -> int:
-    return 1 if n < 2 else 2 if n < 24 else 3 if n < 60 else 4
+    return 1 if n < 2 else 2 if n < 24 else 3 if n < 40 else 4 if n < 90 else 5
 
 
 class Shard:
     """An automaton over runs of words of some passages."""
 
     def __init__(self, keys: list[bytes], texts: list[str]):
-        self.keys = keys
-        words = [t.split(" ") for t in texts]
-        self.symbols = {w: symbol(i) for i, w in enumerate(dict.fromkeys(w for t in words for w in t))}
-        self.texts = ["".join([self.symbols[w] for w in t]) for t in words]
-        runs = [[t[i : i + n] for i in range(len(t) - n + 1)] for t in self.texts for n in (run_length(len(t)),)]
-        spread: dict[str, int] = {}
-        for r in runs:
-            for x in set(r):
-                spread[x] = spread.get(x, 0) + 1
-        rare = max(4, len(keys) // 2000)
+        self.keys, self.texts = keys, texts
+        symbols = Symbols()
+        self.coded = [symbols.code(t) for t in texts]
+        # Of long passages, about twice as many runs as will be chosen, at even distances.
+        at = [range(0, len(t) - n + 1, max(1, len(t) // (2 * RUNS))) for t in self.coded for n in (run_length(len(t)),)]
+        runs = [[t[i : i + run_length(len(t))] for i in places] for t, places in zip(self.coded, at)]
+        spread = Counter(x for r in runs for x in set(r))
         places: dict[str, list[tuple[int, int]]] = {}
-        self.pattern_words = []
+        self.least = []
         for c, r in enumerate(runs):
             chosen = range(len(r))
-            if len(r) > RUNS and len(self.texts[c]) >= 24:
-                order = sorted(chosen, key=lambda i: (max(rare, spread[r[i]]), zlib.crc32(r[i].encode())))
-                chosen = order[:RUNS]
+            if len(r) > RUNS and len(self.coded[c]) >= 24:
+                drawn = [(max(RARE, spread[x]), (ord(x[0]) * 40503 + ord(x[1]) * 30011 + ord(x[-1])) % 65521, i) for i, x in enumerate(r)]
+                chosen = [i for _, _, i in nsmallest(RUNS, drawn)]
             mask = 0
             for i in chosen:
-                places.setdefault(r[i], []).append((c, i))
-                mask |= ((1 << len(r[i])) - 1) << i
-            self.pattern_words.append(mask.bit_count())
+                place = at[c][i]
+                places.setdefault(r[i], []).append((c, place))
+                mask |= ((1 << len(r[i])) - 1) << place
+            self.least.append(COVERED * mask.bit_count())
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
-        for pattern, at in places.items():
-            self.automaton.add_word(pattern, (len(pattern), tuple(at)))
+        for pattern, found in places.items():
+            self.automaton.add_word(pattern, (len(pattern), tuple(found)))
         if places:
             self.automaton.make_automaton()
 
-    def scan(self, text: str) -> list[bytes]:
-        """The keys of the passages that the text is the same as, or nearly."""
-        get = self.symbols.get
-        words = text.split(" ")
-        coded = "".join([get(w, UNKNOWN) for w in words])
+    def scan(self, text: str, coded: str) -> list[bytes]:
+        """The keys of the passages that the text is the same as, or nearly. coded: the text as symbols."""
         covered: dict[int, int] = {}
+        get = covered.get
         for _, (n, at) in self.automaton.iter(coded):
             block = (1 << n) - 1
             for c, i in at:
-                covered[c] = covered.get(c, 0) | (block << i)
+                covered[c] = get(c, 0) | (block << i)
         found = []
+        n = len(coded)
         for c, mask in covered.items():
-            other = self.texts[c]
-            longer = max(len(other), len(coded))
-            if min(len(other), len(coded)) < KEPT * longer:
+            if mask.bit_count() < self.least[c]:
                 continue
-            if mask.bit_count() < COVERED * self.pattern_words[c]:
+            other = self.coded[c]
+            longer = max(len(other), n)
+            if min(len(other), n) < KEPT * longer:
                 continue
-            if other == coded or common_words(other, coded) >= KEPT * longer:
+            if self.texts[c] == text or common_words(other, coded) >= KEPT * longer and near(self.texts[c].split(" "), text.split(" ")):
                 found.append(self.keys[c])
         return found
 
 
+#: One for one from ASCII: letters in lower case, digits, nothing for apostrophes, blanks for all else.
+_ASCII = {i: (chr(i).lower() if chr(i).isalnum() else None if chr(i) in "'`" else " ") for i in range(128)}
+_HIDDEN = regex.compile(r"[\p{Cf}\u034f\u115f\u1160\u17b4\u17b5\u180b-\u180f\u3164\ufe00-\ufe0f\uffa0'’‘`´]+")
+_NO_WORD = regex.compile(r"[^\p{L}\p{N}\p{M}]+")
+
+
+def plain_words(text: str | None) -> str:
+    """Words in lower case between single blanks; characters that show nothing and apostrophes vanish, other marks separate."""
+    if not text:
+        return ""
+    if text.isascii():
+        return " ".join(text.translate(_ASCII).split())
+    return _NO_WORD.sub(" ", _HIDDEN.sub("", text.lower())).strip()
+
+
 def split_role(col: str = "split"):
     """T for training, E for evaluation, null for anything else."""
     name = F.lower(F.trim(col))
@@ -150,22 +176,53 @@ def split_role(col: str = "split"):
 
 
 def read_records(df: DataFrame) -> DataFrame:
-    """(rec, role, split, source, passage, question) with the texts as words."""
-    rows = df.select(F.col("rec_id").cast("bigint").alias("rec"), split_role().alias("role"), F.lower(F.trim("split")).alias("split"), code_name("source").alias("source"), words_text("passage").alias("passage"), words_text("question").alias("question"))
-    return rows.where("rec IS NOT NULL AND role IS NOT NULL AND passage <> '' AND question <> ''")
-
+    """(rec, role, split, source, k, passage, question) with the texts as words. k: key of the passage, whose text is given
+    with one or more of its records in each role. The texts are read once, and a text met again in a task is not worked on again."""
 
-def passage_key(col: str = "passage"):
-    return F.unhex(F.md5(F.col(col)))
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: dict[str, bytes | None] = {}
+        given: set[tuple[str, bytes]] = set()
+        asked: dict[str, str] = {}
+        for batch in batches:
+            role, passages, questions = (batch.column(i).to_pylist() for i in (1, 4, 5))
+            k, texts, qs, keep = [], [], [], []
+            for r, p, q in zip(role, passages, questions):
+                text = None
+                if p not in keys:
+                    text = plain_words(p)
+                    keys[p] = hashlib.md5(text.encode()).digest() if text else None
+                key = keys[p]
+                if q not in asked:
+                    asked[q] = plain_words(q)
+                if key is None or not asked[q]:
+                    keep.append(False)
+                    continue
+                keep.append(True)
+                k.append(key)
+                qs.append(asked[q])
+                fresh = (r, key) not in given
+                texts.append((plain_words(p) if text is None else text) if fresh else None)
+                given.add((r, key))
+            if len(keys) > REMEMBERED:
+                keys, given = {}, set()
+            if len(asked) > REMEMBERED:
+                asked = {}
+            rest = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*(rest.column(i) for i in range(4)), pa.array(k, pa.binary()), pa.array(texts, pa.string()), pa.array(qs, pa.string())], ["rec", "role", "split", "source", "k", "passage", "question"])
+
+    rows = df.select(F.col("rec_id").cast("bigint").alias("rec"), split_role().alias("role"), F.lower(F.trim("split")).alias("split"), code_name("source").alias("source"), F.col("passage").cast("string").alias("p"), F.col("question").cast("string").alias("q"))
+    rows = rows.where("rec IS NOT NULL AND role IS NOT NULL AND p IS NOT NULL AND q IS NOT NULL")
+    return rows.mapInArrow(read, "rec BIGINT, role STRING, split STRING, source STRING, k BINARY, passage STRING, question STRING")
 
 
 def passage_links(records: DataFrame) -> DataFrame:
     """(tk, ek): keys of a training and an evaluation passage that are the same or nearly so."""
     spark = records.sparkSession
     length = F.size(F.split("passage", " "))
-    evals = records.where("role = 'E'").select(passage_key().alias("k"), "passage").groupBy("k").agg(F.first("passage").alias("passage"))
+    evals = records.where("role = 'E' AND passage IS NOT NULL").groupBy("k").agg(F.first("passage").alias("passage"))
     evals = materialise(evals.withColumn("n", length).withColumn("band", F.floor(F.log("n") / math.log(BAND)).cast("int")), "evals")
-    bands = {r["band"]: (r["words"], r["least"], r["most"]) for r in evals.groupBy("band").agg(F.sum("n").alias("words"), F.min("n").alias("least"), F.max("n").alias("most")).collect()}  # the bands grow as the logarithm of the lengths
+    # One row for each band; their number grows as the logarithm of the lengths.
+    bands = {r["band"]: (r["words"], r["least"], r["most"]) for r in evals.groupBy("band").agg(F.sum("n").alias("words"), F.min("n").alias("least"), F.max("n").alias("most")).collect()}
     if not bands:
         return spark.createDataFrame([], "tk BINARY, ek BINARY")
     shards: list[tuple[int, int, int]] = []  # number, least and most words
@@ -184,22 +241,23 @@ def passage_links(records: DataFrame) -> DataFrame:
 
     def load(number: int) -> Shard | None:
         fs, root = pafs.FileSystem.from_uri(path)
-        files = [f.path for f in fs.get_file_info(pafs.FileSelector(f"{root}/shard={number}", allow_not_found=True)) if f.path.endswith(".parquet")]
-        for f in files:
-            for value in pq.read_table(f, filesystem=fs, columns=["automaton"], partitioning=None).column(0):
-                return pickle.loads(value.as_py())
+        for f in fs.get_file_info(pafs.FileSelector(f"{root}/shard={number}", allow_not_found=True)):
+            if f.path.endswith(".parquet"):
+                for value in pq.read_table(f.path, filesystem=fs, columns=["automaton"], partitioning=None).column(0):
+                    return pickle.loads(value.as_buffer())
         return None
 
     def scan_held(held: dict[bytes, str]) -> pa.RecordBatch:
         left, right = [], []
-        sized = [(k, t, t.count(" ") + 1) for k, t in held.items()]
+        symbols = Symbols()
+        texts = [(k, t, c, len(c)) for k, t in held.items() for c in (symbols.code(t),)]
         for number, least, most in shards:
-            fit = [(k, t) for k, t, n in sized if KEPT * least <= n <= most / KEPT]
+            fit = [x for x in texts if KEPT * least <= x[3] <= most / KEPT]
             shard = load(number) if fit else None
             if shard is None:
                 continue
-            for k, t in fit:
-                for other in shard.scan(t):
+            for k, t, c, _ in fit:
+                for other in shard.scan(t, c):
                     left.append(k)
                     right.append(other)
         return pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["tk", "ek"])
@@ -218,7 +276,7 @@ def passage_links(records: DataFrame) -> DataFrame:
         if held:
             yield scan_held(held)
 
-    train = records.where("role = 'T'").select(passage_key().alias("k"), "passage")
+    train = records.where("role = 'T' AND passage IS NOT NULL").select("k", "passage")
     return materialise(train.mapInArrow(scan, "tk BINARY, ek BINARY").distinct(), "links")
 
 
@@ -232,9 +290,9 @@ def prefix_words(col: str):
 def overlapping_records(df: DataFrame) -> DataFrame:
     """(train_id, eval_id, eval_split, eval_source, same_source): every pair of a training and an evaluation record with the same or nearly
     the same passage and question."""
-    records = read_records(df)
+    records = materialise(read_records(df), "texts")
     links = passage_links(records)
-    small = records.select("rec", "role", "split", "source", passage_key().alias("k"), "question")
+    small = records.select("rec", "role", "split", "source", "k", "question")
     keys = links.select(F.col("tk").alias("k"), F.lit("T").alias("role")).union(links.select(F.col("ek").alias("k"), F.lit("E").alias("role"))).distinct()
     small = materialise(small.distinct().join(keys, ["k", "role"], "left_semi"), "records")
     questions = small.select("k", "role", "question").distinct()
