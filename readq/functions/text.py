@@ -47,3 +47,159 @@ def code_name(col: Column | str) -> Column:
     col = F.col(col) if isinstance(col, str) else col
     text = F.regexp_replace(F.regexp_replace(F.lower(col), r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
     return F.when(F.length(text) > 0, text)
+
+
+# ---- words, sentences and question kinds ----
+
+# The word lists and orders below must equal those of the features they define.
+STOPWORDS = (
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being",
+    "have", "has", "had", "do", "does", "did", "will", "would", "could",
+    "should", "may", "might", "shall", "can", "of", "in", "on", "at",
+    "to", "for", "with", "by", "from", "that", "this", "it", "its",
+    "and", "or", "but", "not", "no", "what", "which", "who", "whom",
+    "when", "where", "why", "how",
+)
+WH_WORDS = ("what", "who", "where", "when", "why", "how", "which", "whose", "whom")
+QUESTION_KINDS = ("why", "how many", "how much", "how", "which", "what", "who", "when", "where")
+QTYPE_SCORES = {"when": 0.1, "where": 0.15, "who": 0.2, "what": 0.25, "which": 0.35, "how many": 0.4, "how much": 0.4, "how": 0.75, "why": 0.9}
+AUXILIARIES = "is|are|was|were|do|does|did|can|could|will|would"
+LEVELS = ("preA1", "A1", "A2", "B1", "B2", "C1", "C2", "C2+")
+
+
+def _c(col: Column | str) -> Column:
+    return F.col(col) if isinstance(col, str) else col
+
+
+def tokens(col: Column | str) -> Column:
+    """Runs of ASCII letters and apostrophes of the lower-case text; null gives null."""
+    return F.regexp_extract_all(F.lower(_c(col)), F.lit("([a-z']+)"), 1)
+
+
+def content_words(toks: Column) -> Column:
+    """Tokens longer than one character that are no stop words; repeats stay."""
+    return F.filter(toks, lambda t: (F.length(t) > 1) & ~t.isin(*STOPWORDS))
+
+
+def word_list(col: Column | str) -> Column:
+    """What Unicode white space separates, without empty parts."""
+    return F.filter(F.split(_c(col), r"(?U)\s+"), lambda w: w != "")
+
+
+def word_count(col: Column | str) -> Column:
+    return F.size(word_list(col)).cast("bigint")
+
+
+def sentences(col: Column | str) -> Column:
+    """The trimmed text, cut at white space after a full stop, question or exclamation mark."""
+    return F.split(F.trim(_c(col)), r"(?<=[.!?])\s+")
+
+
+def sentence_count(col: Column | str) -> Column:
+    return F.greatest(F.lit(1), F.size(sentences(col))).cast("bigint")
+
+
+def sentence_count_by_marks(col: Column | str) -> Column:
+    """Parts between runs of end marks that are not blank, at least 1."""
+    parts = F.filter(F.split(_c(col), "[.!?]+"), lambda s: F.trim(s) != "")
+    return F.greatest(F.lit(1), F.size(parts)).cast("bigint")
+
+
+def end_mark_runs(col: Column | str) -> Column:
+    return F.regexp_count(_c(col), F.lit("[.!?]+")).cast("bigint")
+
+
+def question_kind(col: Column | str) -> Column:
+    """why, how many, how much, how, which, what, who, when or where by the question's beginning; yes/no after an auxiliary; else other."""
+    q = F.lower(F.trim(_c(col)))
+    out = F.when(q.rlike(rf"^({AUXILIARIES})\b"), "yes/no").otherwise("other")
+    for kind in reversed(QUESTION_KINDS):
+        out = F.when(q.startswith(kind), kind).otherwise(out)
+    return F.when(q.isNotNull(), out)
+
+
+def wh_ordinal(col: Column | str) -> Column:
+    """Place of the first word among WH_WORDS, from 0; 9 if it is none of them."""
+    first = F.get(word_list(F.lower(_c(col))), 0)
+    at = F.array_position(F.array(*[F.lit(w) for w in WH_WORDS]), first)
+    return F.when(_c(col).isNotNull(), F.when(F.coalesce(at, F.lit(0)) > 0, at - 1).otherwise(9)).cast("bigint")
+
+
+def qtype_score(col: Column | str) -> Column:
+    """How much reasoning the question's beginning asks for; the longest beginning counts, 0.5 if none fits."""
+    q = F.lower(F.trim(_c(col)))
+    out = F.lit(0.5)
+    for phrase in sorted(QTYPE_SCORES, key=len):
+        out = F.when(q.startswith(phrase), QTYPE_SCORES[phrase]).otherwise(out)
+    return F.when(q.isNotNull(), out)
+
+
+def plain_tokens(col: Column | str) -> Column:
+    """Lower-case words after all marks but letters, digits and underscores are taken out."""
+    return word_list(F.regexp_replace(F.lower(_c(col)), r"(?U)[^\w\s]", ""))
+
+
+def first_year(col: Column | str) -> Column:
+    """The first number from 1000 to 2099 standing alone; null if there is none."""
+    return F.regexp_extract(_c(col), r"\b(1[0-9]{3}|20[0-9]{2})\b", 1).try_cast("int")
+
+
+def collapse(col: Column | str) -> Column:
+    """White space as single blanks, none at the ends."""
+    return F.array_join(word_list(col), " ")
+
+
+def truncate_words(col: Column | str, n: int) -> Column:
+    """The first n words, only if the text has more."""
+    words = word_list(col)
+    return F.when(F.size(words) > n, F.array_join(F.slice(words, 1, n), " ")).otherwise(_c(col))
+
+
+def parsed_label(col: Column | str, default: int = 1) -> Column:
+    """0, 1 or 2 by the first EASY, MEDIUM or HARD in the text; the default if there is none."""
+    word = F.regexp_extract(F.upper(_c(col)), r"\b(EASY|MEDIUM|HARD)\b", 1)
+    return F.coalesce(F.when(word == "EASY", 0).when(word == "MEDIUM", 1).when(word == "HARD", 2), F.lit(default)).cast("bigint")
+
+
+def without_fence(col: Column | str) -> Column:
+    """The text inside a Markdown code fence, or all of it."""
+    text = F.trim(_c(col))
+    return F.when(text.startswith("```"), F.trim(F.regexp_replace(F.regexp_replace(text, r"^```[^\n]*\n?", ""), r"\n?```\s*$", ""))).otherwise(text)
+
+
+def lix(col: Column | str) -> Column:
+    """Words per sentence plus the percentage of words longer than six letters, from 20..65 to 0..1; 0 for a text without words."""
+    words = word_list(col)
+    n = F.size(words)
+    sents = F.size(F.filter(F.split(_c(col), r"\."), lambda s: F.trim(s) != ""))
+    long_words = F.size(F.filter(words, lambda w: F.length(F.regexp_replace(w, r"[.,!?;:]+$", "")) > 6))
+    value = n / sents + long_words * 100 / n
+    return F.when(_c(col).isNull(), None).when((n == 0) | (sents == 0), 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (value - 20.0) / 45.0)))
+
+
+def level_of(score: Column) -> Column:
+    """The level of a score from 0 to 1; the borders lie half-way between the eighths' marks k / 7."""
+    out = F.lit(LEVELS[0])
+    for k, level in enumerate(LEVELS[1:]):
+        out = F.when(score >= (k + 0.5) / 7, level).otherwise(out)
+    return F.when(score.isNotNull(), out)
+
+
+def level_ordinal(col: Column | str) -> Column:
+    return (F.array_position(F.array(*[F.lit(x) for x in LEVELS]), _c(col)) - 1).cast("bigint")
+
+
+def difficulty_of(score: Column) -> Column:
+    """EASY below a third, MEDIUM below two thirds, else HARD."""
+    return F.when(score < 1 / 3, "EASY").when(score < 2 / 3, "MEDIUM").when(score.isNotNull(), "HARD")
+
+
+def label_ordinal(col: Column | str) -> Column:
+    """0, 1, 2 for easy, medium, hard in any case; null for anything else."""
+    c = F.lower(F.trim(_c(col)))
+    return F.when(c == "easy", 0).when(c == "medium", 1).when(c == "hard", 2).cast("bigint")
+
+
+def contains_text(passage: Column | str, answer: Column | str) -> Column:
+    """Whether the answer stands in the passage, without regard to case; an empty answer always does."""
+    return F.contains(F.lower(_c(passage)), F.lower(_c(answer)))
