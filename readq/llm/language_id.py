@@ -66,8 +66,8 @@ CHANGE = 0.3
 FULL_SENTENCE = 40
 
 _SENTENCE_END = re.compile(r"[.!?…。？！]+[\"'”»’)\]]*(?=\s|$)|[\n\r]+|\s/\s")
-_MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
-_BITS = ((np.arange(1 << N)[:, None] >> np.arange(N)[None, :]) & 1).astype(np.int32)
+_MULT = np.uint64(0x9E3779B97F4A7C15)
+_BITS = np.concatenate([(np.arange(1 << N)[:, None] >> np.arange(N)[None, :]) & 1, np.arange(1 << N)[:, None] > 0], 1).astype(np.int16)
 
 
 def label_code(label: str | None) -> str | None:
@@ -101,43 +101,40 @@ def letters(text: str) -> tuple[np.ndarray, np.ndarray]:
         rest = np.nonzero(~small)[0]
         kinds = {p: chr(p).isalpha() for p in np.unique(points[rest]).tolist()}
         is_letter[rest] = [kinds[p] for p in points[rest].tolist()]
-    hidden = ~is_letter & np.isin(points, (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF))
     keep = is_letter.copy()
     keep[1:] |= is_letter[:-1]  # the first blank after a letter stays
-    keep &= ~hidden
+    if not small.all():
+        keep &= is_letter | ~np.isin(points, (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF))
     at = np.nonzero(keep)[0]
     return np.where(is_letter[at], points[at], 32).astype(np.uint64), at
 
 
-def gram_hashes(points: np.ndarray, order: int) -> np.ndarray:
-    """A 64-bit hash of the n-gram that starts at each place."""
-    n = len(points) - order + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.uint64)
-    h = np.full(n, order, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(order):
-            h = (h ^ points[k : k + n]) * _MULT[0]
-            h ^= h >> np.uint64(29)
-    return h
+def gram_hashes(points: np.ndarray) -> list[np.ndarray]:
+    """For each order, a 64-bit hash of the n-gram that starts at each place; a longer one goes on from the shorter."""
+    out, h = [], np.full(len(points), 17, dtype=np.uint64)
+    for k in range(ORDERS[-1]):
+        n = max(0, len(points) - k)
+        h = (h[:n] ^ points[k : k + n]) * _MULT
+        h ^= h >> np.uint64(29)
+        if k + 1 in ORDERS:
+            out.append(h)
+    return out
 
 
 class LanguageFilter:
     """The bit-sliced Bloom filters of all languages."""
 
     def __init__(self, texts: dict[str, list[str]]):
-        counts: dict[int, dict[int, int]] = {}
         every, per, totals = [], [], np.zeros(N)
         for i, code in enumerate(LANGS):
             grams = []
             for t in texts.get(code, []):
                 points, _ = letters(t)
-                grams += [gram_hashes(points, o) for o in ORDERS]
+                grams += gram_hashes(points)
                 totals[i] += len(points)
             seen, count = np.unique(np.concatenate(grams), return_counts=True) if grams else (np.zeros(0, np.uint64), np.zeros(0, int))
             every.append(seen)
             per.append(count)
-        del counts
         grams = np.unique(np.concatenate(every)) if every else np.zeros(0, np.uint64)
         rate = np.zeros((len(grams), N))
         for i in range(N):
@@ -153,9 +150,9 @@ class LanguageFilter:
 
     @staticmethod
     def _slot(hashes: np.ndarray, k: int) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            mixed = (hashes ^ (hashes >> np.uint64(31))) * _MULT[k]
-        return (mixed >> np.uint64(44)).astype(np.int64) % SLOTS
+        """The k-th slot: the upper bits of the hash, k steps on by its middle bits."""
+        slot = (hashes >> np.uint64(44)) + np.uint64(k) * ((hashes >> np.uint64(22)) | np.uint64(1))
+        return (slot & np.uint64(SLOTS - 1)).astype(np.int64)
 
     def masks(self, hashes: np.ndarray) -> np.ndarray:
         """For each n-gram the bit mask of the languages that contain it."""
@@ -168,30 +165,14 @@ class LanguageFilter:
         """For each piece of the text between borders (the last is the text's end): for each language the n-grams it contains,
         less the false positives expected; and the number of n-grams that any language contains."""
         points, at = letters(text)
-        pieces = len(borders)
-        hits, known = np.zeros((pieces, N)), np.zeros(pieces)
-        for order in ORDERS:
-            h = gram_hashes(points, order)
-            if not len(h):
-                continue
-            m = self.masks(h)
-            bits = np.zeros((len(h) + 1, N), dtype=np.int64)
-            np.cumsum(_BITS[m], axis=0, out=bits[1:])
-            some = np.zeros(len(h) + 1, dtype=np.int64)
-            np.cumsum(m > 0, out=some[1:])
-            ends = np.minimum(np.searchsorted(at, borders), len(h))
-            starts = np.concatenate([[0], ends[:-1]])
-            n = some[ends] - some[starts]
-            c = bits[ends] - bits[starts]
-            hits += (c - n[:, None] * self.false_positive) / (1 - self.false_positive)
-            known += n
-        return np.maximum(hits, 0), known
-
-    def share(self, text: str) -> tuple[np.ndarray, float, int]:
-        """For a short text: corrected shares of the languages among the known n-grams, the number of those, and of all n-grams."""
-        hits, known = self.counts(text, [len(text)])
-        every = max(0, sum(max(0, len(letters(text)[0]) - o + 1) for o in ORDERS))
-        return hits[0] / max(known[0], 1), float(known[0]), every
+        bits = np.zeros((len(points) + 1, N + 1), dtype=np.int64)  # the last column: any language
+        for h in gram_hashes(points):
+            bits[1 : len(h) + 1] += _BITS[self.masks(h)]
+        np.cumsum(bits, axis=0, out=bits)
+        ends = np.searchsorted(at, borders)
+        here = np.diff(bits[ends], axis=0, prepend=bits[:1])
+        known = here[:, N].astype(float)
+        return np.maximum((here[:, :N] - known[:, None] * self.false_positive) / (1 - self.false_positive), 0), known
 
     def stretches(self, text: str) -> list[tuple[int, int, int, float]]:
         """(start, end, language number, confidence) of each stretch in one language; none if the text is in none of them.
