@@ -48,7 +48,7 @@ RUNS = 32
 #: Runs that so few passages of a shard share are drawn from alike; more widespread ones come after them, the rarer the sooner.
 RARE = 4
 #: Words of all passages of a shard, about; it bounds the memory an automaton takes.
-SHARD_WORDS = 1_200_000
+SHARD_WORDS = 600_000
 #: A worker remembers so many texts.
 REMEMBERED = 100_000
 #: Lengths within a band differ by this factor.
