@@ -71,7 +71,7 @@ def map_upsert(m: Column | str, key: Column | str, value: Column) -> Column:
 
 def first_value(m: Column | str) -> Column:
     """The value of the smallest key."""
-    return F.element_at(_c(m), F.element_at(F.array_sort(F.map_keys(_c(m))), 1))
+    return F.try_element_at(_c(m), F.get(F.array_sort(F.map_keys(_c(m))), 0))
 
 
 def feature_map(feats: Column | str) -> Column:

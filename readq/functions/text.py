@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,6 +73,11 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often it is named in it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def tokens(col: Column | str) -> Column:
     """Runs of ASCII letters and apostrophes of the lower-case text; null gives null."""
     return F.regexp_extract_all(F.lower(_c(col)), F.lit("([a-z']+)"), 1)
@@ -151,8 +158,7 @@ def collapse(col: Column | str) -> Column:
 
 def truncate_words(col: Column | str, n: int) -> Column:
     """The first n words, only if the text has more."""
-    words = word_list(col)
-    return F.when(F.size(words) > n, F.array_join(F.slice(words, 1, n), " ")).otherwise(_c(col))
+    return let(word_list(col), lambda w: F.when(F.size(w) > n, F.array_join(F.slice(w, 1, n), " ")).otherwise(_c(col)))
 
 
 def parsed_label(col: Column | str, default: int = 1) -> Column:
@@ -169,20 +175,27 @@ def without_fence(col: Column | str) -> Column:
 
 def lix(col: Column | str) -> Column:
     """Words per sentence plus the percentage of words longer than six letters, from 20..65 to 0..1; 0 for a text without words."""
-    words = word_list(col)
-    n = F.size(words)
     sents = F.size(F.filter(F.split(_c(col), r"\."), lambda s: F.trim(s) != ""))
-    long_words = F.size(F.filter(words, lambda w: F.length(F.regexp_replace(w, r"[.,!?;:]+$", "")) > 6))
-    value = n / sents + long_words * 100 / n
-    return F.when(_c(col).isNull(), None).when((n == 0) | (sents == 0), 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (value - 20.0) / 45.0)))
+
+    def value(x: Column) -> Column:
+        n = F.size(x["w"])
+        long_words = F.size(F.filter(x["w"], lambda w: F.length(F.rtrim(w, F.lit(".,!?;:"))) > 6))
+        raw = n / x["s"] + long_words * 100 / n
+        return F.when((n == 0) | (x["s"] == 0), 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (raw - 20.0) / 45.0)))
+
+    return F.when(_c(col).isNotNull(), let(F.struct(word_list(col).alias("w"), sents.alias("s")), value))
 
 
 def level_of(score: Column) -> Column:
     """The level of a score from 0 to 1; the borders lie half-way between the eighths' marks k / 7."""
-    out = F.lit(LEVELS[0])
-    for k, level in enumerate(LEVELS[1:]):
-        out = F.when(score >= (k + 0.5) / 7, level).otherwise(out)
-    return F.when(score.isNotNull(), out)
+
+    def level(x: Column) -> Column:
+        out = F.lit(LEVELS[0])
+        for k, name in enumerate(LEVELS[1:]):
+            out = F.when(x >= (k + 0.5) / 7, name).otherwise(out)
+        return F.when(x.isNotNull(), out)
+
+    return let(score, level)
 
 
 def level_ordinal(col: Column | str) -> Column:
@@ -191,7 +204,7 @@ def level_ordinal(col: Column | str) -> Column:
 
 def difficulty_of(score: Column) -> Column:
     """EASY below a third, MEDIUM below two thirds, else HARD."""
-    return F.when(score < 1 / 3, "EASY").when(score < 2 / 3, "MEDIUM").when(score.isNotNull(), "HARD")
+    return let(score, lambda x: F.when(x < 1 / 3, "EASY").when(x < 2 / 3, "MEDIUM").when(x.isNotNull(), "HARD"))
 
 
 def label_ordinal(col: Column | str) -> Column:

@@ -71,9 +71,12 @@ def reasoning_demand(question: Column | str, answer: Column | str, raw: Column |
     r = F.coalesce(r, F.array().cast("array<struct<s:string,r:string,o:string>>"))
     low = F.lower(a)
     covering = F.filter(r, lambda t: F.contains(F.lower(t["s"]), low) | F.contains(F.lower(t["o"]), low))
-    spoken = F.filter(covering, lambda t: F.lower(t["s"]).isin(*PRONOUNS) | F.lower(t["o"]).isin(*PRONOUNS))
-    s_coref = F.when((F.coalesce(F.size(c), F.lit(0)) <= 0) | (r == c) | (F.size(covering) == 0), 0.0).otherwise(F.size(spoken) / F.size(covering))
-    s_cover = F.when(F.size(covering) > 0, 0.0).otherwise(1.0)
-    s_dense = F.least(F.size(r) / 15.0, F.lit(1.0))
-    total = WEIGHTS["qtype"] * T.qtype_score(q) + WEIGHTS["coref"] * s_coref + WEIGHTS["coverage"] * s_cover + WEIGHTS["density"] * s_dense
-    return F.least(total, F.lit(1.0))
+
+    def total(x: Column) -> Column:
+        spoken = F.filter(x["c"], lambda t: F.lower(t["s"]).isin(*PRONOUNS) | F.lower(t["o"]).isin(*PRONOUNS))
+        s_coref = F.when((F.coalesce(F.size(c), F.lit(0)) <= 0) | (x["r"] == c) | (F.size(x["c"]) == 0), 0.0).otherwise(F.size(spoken) / F.size(x["c"]))
+        s_cover = F.when(F.size(x["c"]) > 0, 0.0).otherwise(1.0)
+        s_dense = F.least(F.size(x["r"]) / 15.0, F.lit(1.0))
+        return F.least(WEIGHTS["qtype"] * T.qtype_score(q) + WEIGHTS["coref"] * s_coref + WEIGHTS["coverage"] * s_cover + WEIGHTS["density"] * s_dense, F.lit(1.0))
+
+    return T.let(F.struct(covering.alias("c"), r.alias("r")), total)

@@ -60,7 +60,9 @@ def zipf_stats(df: DataFrame, id_col: str, text_col: str, words: DataFrame) -> D
     small = words.limit(MAP_ROWS + 1).count() <= MAP_ROWS
     joined = each.join(F.broadcast(words) if small else words, "word", "left")
     z = F.coalesce("zipf", F.lit(0.0))
-    got = joined.groupBy(id_col).agg(F.sum("n").alias("n_words"), F.sum(z * F.col("n")).alias("__sum"), F.sum(F.when(z < RARE_ZIPF, F.col("n")).otherwise(0)).alias("__rare"))
+    # Decimals, so that the sum does not depend on the order of its parts.
+    exact = (z.cast("decimal(12,6)") * F.col("n").cast("decimal(12,0)")).cast("decimal(30,6)")
+    got = joined.groupBy(id_col).agg(F.sum("n").alias("n_words"), F.sum(exact).cast("double").alias("__sum"), F.sum(F.when(z < RARE_ZIPF, F.col("n")).otherwise(0)).alias("__rare"))
     every = df.select(id_col).join(got, id_col, "left")
     n = F.coalesce("n_words", F.lit(0))
     return every.select(id_col, n.alias("n_words"), _ratio(F.col("__sum"), n).alias("avg_zipf"), _ratio(F.col("__rare"), n).alias("frac_rare"))

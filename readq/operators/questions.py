@@ -16,6 +16,7 @@ from readq.functions import text as T
 from readq.operators import difficulty as D
 from readq.operators import graph as G
 from readq.operators import lexicon as L
+from readq.session import materialise
 
 #: kind_no is the place of the kind when all are put together; ord the place of the question within its kind.
 QUESTION = ("doc_id", "kind", "kind_no", "ord", "text", "answer", "answer_type", "answer_list", "hop_count", "is_passive", "s_type", "s_local", "s_vocab", "fixed_level")
@@ -292,8 +293,8 @@ def bridge_questions(facts: DataFrame, triples: DataFrame) -> DataFrame:
 
 
 def all_questions(triples: DataFrame) -> DataFrame:
-    """Every kind of question of every document."""
-    facts = fact_table(triples)
+    """Every kind of question of every document. The facts are written once, as every kind reads them."""
+    facts = materialise(fact_table(triples), "facts")
     kinds = [wh_questions(facts), true_claims(facts), false_claims(facts, triples), which_questions(facts), count_questions(facts), comparison_questions(facts), chain_questions(facts), subgraph_questions(facts), chain_subgraph_questions(facts), bridge_questions(facts, triples)]
     return reduce(DataFrame.unionByName, kinds)
 

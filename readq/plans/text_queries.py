@@ -161,7 +161,7 @@ _wh = "CASE " + " ".join(f"WHEN ({_words.format('lower(question)')})[1] = '{w}'
 
 
 def _zipf_of(short: str, col: str) -> str:
-    return f"""{short}z AS (SELECT rec_id, count(*) AS n, sum(coalesce(zipf, 0.0)) AS s, count(*) FILTER (coalesce(zipf, 0.0) < 3.0) AS r
+    return f"""{short}z AS (SELECT rec_id, count(*) AS n, sum(coalesce(zipf, 0.0)::DECIMAL(12, 6))::DOUBLE AS s, count(*) FILTER (coalesce(zipf, 0.0) < 3.0) AS r
         FROM (SELECT rec_id, unnest({_toks.format(f"coalesce({col}, '')")}) AS word FROM q) t LEFT JOIN z USING (word) WHERE NOT contains(word, '''') GROUP BY 1)"""
 
 
