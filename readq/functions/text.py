@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -31,8 +33,24 @@ def canonical(col: Column | str) -> Column:
 
 def canonical_key(col: Column | str) -> Column:
     """32 hex digits of the canonical text; null where nothing is left of it."""
-    text = canonical(col)
-    return F.when(F.length(text) > 0, F.md5(text))
+    return let(canonical(col), lambda t: F.when(F.length(t) > 0, F.md5(t)))
+
+
+#: The same in Python, for operators that read texts in Arrow batches anyway; it is several times as fast there as the pattern is in the JVM.
+_ASCII_TEXT = {i: (chr(i).lower() if chr(i).isalnum() or chr(i) in "$+<=>^`|~" else None) for i in range(128)}
+
+
+def canonical_text(text: str) -> str:
+    if text.isascii():
+        return text.translate(_ASCII_TEXT)
+    return _not_text().sub("", text.lower())
+
+
+@functools.cache
+def _not_text():
+    import regex
+
+    return regex.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), NOT_TEXT))
 
 
 def words_text(col: Column | str) -> Column:

@@ -33,12 +33,17 @@ def importances(model: PipelineModel) -> list[tuple[str, float]]:
     return sorted(zip(FEATURES, map(float, mean)), key=lambda x: (-x[1], x[0]))
 
 
+def as_features(df: DataFrame, vector: str = "embedding") -> DataFrame:
+    """Add `features`, the array as a vector."""
+    return df.withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))
+
+
 def linear_probe(df: DataFrame, label: str = "label", vector: str = "embedding", rounds: int = 300) -> PipelineModel:
-    """Multinomial logistic regression on embeddings, with the ridge of strength 1 over the number of rows."""
+    """Multinomial logistic regression on embeddings, with the ridge of strength 1 over the number of rows. The model reads `as_features`."""
     rows = df.where(F.col(label).isNotNull())
     n = max(1, rows.count())
     lr = LogisticRegression(labelCol=label, featuresCol="features", family="multinomial", standardization=False, regParam=1 / n, maxIter=rounds)
-    return Pipeline(stages=[lr]).fit(rows.withColumn("features", array_to_vector(F.col(vector).cast("array<double>"))))
+    return Pipeline(stages=[lr]).fit(as_features(rows, vector))
 
 
 def leaderboard(reports: dict[str, DataFrame]) -> DataFrame:

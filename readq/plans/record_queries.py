@@ -161,7 +161,7 @@ def feature_probe(s: SparkSession, d: str) -> DataFrame:
 def vector_probe(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "embeddings").select("embedding", F.pmod("label", F.lit(3)).cast("double").alias("label"))
     model = ml.linear_probe(rows, rounds=50)
-    return _r(X.class_report(model.transform(rows).select(F.col("label").cast("bigint").alias("truth"), F.col("prediction").cast("bigint").alias("pred"))))
+    return _r(X.class_report(model.transform(ml.as_features(rows)).select(F.col("label").cast("bigint").alias("truth"), F.col("prediction").cast("bigint").alias("pred"))))
 
 
 _dl = "SELECT doc_id, doc_id % 3 AS truth, n_chars % 3 AS pred FROM documents"

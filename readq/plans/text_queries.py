@@ -55,9 +55,7 @@ def question_scores(s: SparkSession, d: str) -> DataFrame:
 
 
 def feature_table(s: SparkSession, d: str) -> DataFrame:
-    out = Fe.feature_table(records(s, d, "passage", "question", "answer"), Fe.word_table(table(s, d, "word_freq")))
-    kinds = dict(out.dtypes)
-    return out.select("rec_id", *[F.round(c, 6).alias(c) if kinds[c] == "double" else F.col(c) for c in Fe.FEATURES])
+    return Fe.feature_table(records(s, d, "passage", "question", "answer"), Fe.word_table(table(s, d, "word_freq")))
 
 
 def zipf_table(s: SparkSession, d: str) -> DataFrame:
@@ -170,10 +168,10 @@ WITH q AS (SELECT DISTINCT rec_id, coalesce(passage, '') AS passage, coalesce(qu
 z AS ({_zipf}), {_zipf_of("q", "question")}, {_zipf_of("p", "passage")}, {_zipf_of("a", "answer")},
 t AS (SELECT *, {_toks.format("question")} AS qt, {_toks.format("passage")} AS pt, {_toks.format("answer")} AS aw, {_parts.format("passage")} AS ps FROM q),
 c AS (SELECT *, list_filter(qt, lambda x: length(x) > 1 AND x NOT IN ({_q})) AS qc FROM t)
-SELECT rec_id, len(qt) AS q_n_tokens, round(CASE WHEN len(qt) > 0 THEN length(array_to_string(qt, ''))::DOUBLE / len(qt) ELSE 0 END, 6) AS q_avg_wlen, {_wh} AS q_wh_type,
-  round(coalesce(qz.s / qz.n, 0), 6) AS q_avg_zipf, round(coalesce(qz.r::DOUBLE / qz.n, 0), 6) AS q_frac_rare, len(pt) AS p_n_tokens, ps AS p_n_sents, round(len(pt)::DOUBLE / ps, 6) AS p_avg_slen,
-  round(CASE WHEN len(pt) > 0 THEN len(list_distinct(pt))::DOUBLE / len(pt) ELSE 0 END, 6) AS p_ttr, round(coalesce(pz.s / pz.n, 0), 6) AS p_avg_zipf, len(aw) AS a_n_tokens, round(coalesce(az.s / az.n, 0), 6) AS a_avg_zipf,
-  round(CASE WHEN len(qc) > 0 THEN len(list_filter(qc, lambda x: list_contains(pt, x)))::DOUBLE / len(qc) ELSE 0 END, 6) AS q_p_overlap, round(contains(lower(passage), lower(answer))::INT::DOUBLE, 6) AS a_in_passage
+SELECT rec_id, len(qt) AS q_n_tokens, CASE WHEN len(qt) > 0 THEN length(array_to_string(qt, ''))::DOUBLE / len(qt) ELSE 0 END AS q_avg_wlen, {_wh} AS q_wh_type,
+  coalesce(qz.s / qz.n, 0) AS q_avg_zipf, coalesce(qz.r::DOUBLE / qz.n, 0) AS q_frac_rare, len(pt) AS p_n_tokens, ps AS p_n_sents, len(pt)::DOUBLE / ps AS p_avg_slen,
+  CASE WHEN len(pt) > 0 THEN len(list_distinct(pt))::DOUBLE / len(pt) ELSE 0 END AS p_ttr, coalesce(pz.s / pz.n, 0) AS p_avg_zipf, len(aw) AS a_n_tokens, coalesce(az.s / az.n, 0) AS a_avg_zipf,
+  CASE WHEN len(qc) > 0 THEN len(list_filter(qc, lambda x: list_contains(pt, x)))::DOUBLE / len(qc) ELSE 0 END AS q_p_overlap, contains(lower(passage), lower(answer))::INT::DOUBLE AS a_in_passage
 FROM c LEFT JOIN qz USING (rec_id) LEFT JOIN pz USING (rec_id) LEFT JOIN az USING (rec_id)"""
 
 SQL = {
