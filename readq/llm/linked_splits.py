@@ -13,15 +13,20 @@ An empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from readq.functions.text import canonical_key
+from readq.functions.text import canonical_text, let
 from readq.operators.ordered import prefix_sum
 from readq.session import materialise
 
+#: A worker remembers so many texts.
+REMEMBERED = 100_000
 #: Words that stand for nobody, as the author key writes them (names sorted, lower case).
 NOBODY = (
     "", "anonymous", "anon", "author unknown", "unknown", "staff", "staff writer", "staff writers", "editorial staff", "editorial team",
@@ -37,8 +42,27 @@ def author_key(col: Column | str, nobody: tuple[str, ...] = NOBODY) -> Column:
     col = F.col(col) if isinstance(col, str) else col
     plain = F.regexp_replace(F.lower(col), r"[\p{Cf}'’.]+", "")
     names = F.array_sort(F.array_remove(F.split(F.regexp_replace(plain, r"[^\p{L}\p{N}\p{M}]+", " "), " "), ""))
-    text = F.array_join(names, " ")
-    return F.when(~text.isin(*nobody), F.md5(text))
+    return let(F.array_join(names, " "), lambda t: F.when(~t.isin(*nobody), F.md5(t)))
+
+
+def record_keys(df: DataFrame, id_col: str, passage_col: str, author_col: str, nobody: tuple[str, ...] = NOBODY) -> DataFrame:
+    """(rec, p, a): each row's id with the keys of its passage and author. A passage met again in a task is not worked on again."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str | None, bytes | None] = {None: None}
+        for batch in batches:
+            keys = []
+            for text in batch.column(1).to_pylist():
+                if text not in known:
+                    plain = canonical_text(text)
+                    known[text] = hashlib.md5(plain.encode()).digest() if plain else None
+                keys.append(known[text])
+            if len(known) > REMEMBERED:
+                known = {None: None}
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), batch.column(2)], ["rec", "p", "a"])
+
+    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("rec"), F.col(passage_col).cast("string").alias("text"), author_key(author_col, nobody).alias("a"))
+    return rows.mapInArrow(read, "rec BIGINT, p BINARY, a STRING")
 
 
 def contract(edges: DataFrame, seed: int = 11, rounds: int = 200) -> DataFrame:
@@ -78,8 +102,7 @@ def contract(edges: DataFrame, seed: int = 11, rounds: int = 200) -> DataFrame:
 
 def linked_groups(df: DataFrame, id_col: str = "rec_id", passage_col: str = "passage", author_col: str = "author", nobody: tuple[str, ...] = NOBODY) -> DataFrame:
     """Each record's id with the smallest id of its group: (group_id, rec_id)."""
-    keys = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("rec"), canonical_key(passage_col).alias("p"), author_key(author_col, nobody).alias("a"))
-    keys = materialise(keys, "keys")
+    keys = materialise(record_keys(df, id_col, passage_col, author_col, nobody), "keys")
     pairs = keys.groupBy("p", "a").agg(F.min("rec").alias("m")).where(F.col("p").isNotNull() | F.col("a").isNotNull())
     pairs = materialise(pairs, "pairs")
     # A vertex is named by its smallest record: even numbers are passages, odd ones authors, records with several keys link them.
