@@ -41,9 +41,9 @@ def water_fill(sizes: DataFrame) -> DataFrame:
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     later = order.rowsBetween(0, Window.unboundedFollowing)
     level = (F.col("wanted") - F.coalesce(F.sum("cap").over(earlier), F.lit(0))) / F.sum("weight").over(later)
-    leveled = sizes.withColumn("level", level).withColumn("clamped", F.col("cap") <= F.col("level") * F.col("weight"))
-    final = F.min(F.when(~F.col("clamped"), F.struct(F.col("cap") / F.col("weight"), "level"))).over(Window.partitionBy("mix_id"))
-    return leveled.withColumn("amount", F.when(F.col("clamped"), F.col("cap").cast("double")).otherwise(final["level"] * F.col("weight"))).drop("level", "clamped")
+    leveled = sizes.withColumns({"level": level, "place": F.row_number().over(order)}).withColumn("clamped", F.col("cap") <= F.col("level") * F.col("weight"))
+    final = F.min(F.when(~F.col("clamped"), F.struct("place", "level"))).over(Window.partitionBy("mix_id"))
+    return leveled.withColumn("amount", F.when(F.col("clamped"), F.col("cap").cast("double")).otherwise(final["level"] * F.col("weight"))).drop("level", "place", "clamped")
 
 
 class SourceMix:
