@@ -162,7 +162,7 @@ class LevelModel:
             return np.full(len(texts), self.lowest), np.full(len(texts), float(self.lowest))
         words = [tokens(t) for t in texts]
         means = self._means(self.models, words)
-        empty = np.array([not w for w in words], dtype=bool)
+        empty = np.array([not any(x[0].isalnum() for x in w) for w in words], dtype=bool)
         above = np.stack([np.interp(means[:, b], x, y) for b, (x, y) in enumerate(self.curves)], 1)
         steps = np.diff(self.levels)
         level = np.where(empty, self.lowest, self._levels(means)) if len(texts) else np.zeros(0, dtype=int)
