@@ -277,6 +277,9 @@ def passage_links(records: DataFrame) -> DataFrame:
             yield scan_held(held)
 
     train = records.where("role = 'T' AND passage IS NOT NULL").select("k", "passage")
+    # A task loads the automata once for all texts it holds: as few tasks as there are cores, or as the memory asks for.
+    chars = train.agg(F.sum(F.length("passage"))).first()[0] or 0
+    train = train.coalesce(max(spark.sparkContext.defaultParallelism, -(-chars // HELD_CHARS)))
     return materialise(train.mapInArrow(scan, "tk BINARY, ek BINARY").distinct(), "links")
 
 
