@@ -12,40 +12,80 @@ empty ledger; a batch added twice counts twice.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import hashlib
+import json
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readq.functions.text import canonical
+from readq.functions.text import canonical_text
 from readq.session import fresh_path, materialise
 
 FIELDS = ("passage", "question", "answer", "difficulty", "source")
-LEDGER = "key STRING, copies BIGINT, keep_id BIGINT"
+#: A worker remembers so many lines.
+REMEMBERED = 50_000
+LEDGER = "key BINARY, copies BIGINT, keep_id BIGINT"
 
 
-def parse_lines(df: DataFrame, line_col: str = "line", fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """Add the fields of each line as columns inside a struct `record`; null where the line holds no record.
+def _not_a_number(name: str):
+    raise ValueError(name)
 
-    The line is read as the one element of an array: text behind the object or a second object breaks the array. Fields
-    are compared as text, so a number or a nested value counts by the way it is written.
-    """
-    schema = "ARRAY<STRUCT<" + ", ".join(f"{f}: STRING" for f in fields) + ">>"
-    line = F.trim(F.regexp_replace(F.col(line_col), r"^[\s\x{FEFF}]+|\s+$", ""))
-    options = {"mode": "PERMISSIVE", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
-    parsed = F.from_json(F.when(line.startswith("{") & line.endswith("}"), F.concat(F.lit("["), line, F.lit("]"))), schema, options)
-    one = F.when(F.size(parsed) == 1, parsed[0])
-    whole = F.lit(True)
-    for f in fields:
-        whole = whole & one[f].isNotNull()
-    # A field that reads as null may be absent; only then are the keys themselves looked at.
-    has_keys = F.size(F.array_except(F.array(*[F.lit(f) for f in fields]), F.coalesce(F.json_object_keys(line), F.array().cast("array<string>")))) == 0
-    return df.withColumn("record", F.when(whole, one).when(one.isNotNull() & has_keys, one))
 
+def fields_of(line: str | None, fields: tuple[str, ...] = FIELDS) -> list[str | None] | None:
+    """The fields of a sound line as text, a number or a nested value by the way it is written; None if the line is no record."""
+    if not line:
+        return None
+    try:
+        record = json.loads(line.strip("\ufeff \t\r\n\f\v\u00a0"), parse_constant=_not_a_number)
+    except (ValueError, RecursionError):
+        return None
+    if not isinstance(record, dict) or not all(f in record for f in fields):
+        return None
+    return [v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False) for v in (record[f] for f in fields)]
+
+
+def record_key(values: list[str | None]) -> bytes:
+    """128 bits of the canonical fields in a fixed order; the unit separator keeps fields apart, as canonical text holds no controls."""
+    text = "\u001f".join(canonical_text(v) if v else "" for v in values)
+    return hashlib.md5(text.encode("utf-8", "surrogatepass")).digest()
+
+
+def canonical_lines(df: DataFrame, id_col: str = "line_id", line_col: str = "line", fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """(line_id, key) of each sound line. A line met again in a task is not worked on again."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str | None, bytes | None] = {None: None}
+        for batch in batches:
+            keys = []
+            for line in batch.column(1).to_pylist():
+                if line not in known:
+                    values = fields_of(line, fields)
+                    known[line] = record_key(values) if values is not None else None
+                keys.append(known[line])
+            if len(known) > REMEMBERED:
+                known = {None: None}
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary())], ["line_id", "key"])
 
-def record_key(fields: Iterable[Column]) -> Column:
-    """32 hex digits of the canonical fields in a fixed order; the unit separator keeps fields apart, as canonical text holds no controls."""
-    return F.md5(F.concat_ws("\u001f", *[F.coalesce(canonical(f), F.lit("")) for f in fields]))
+    rows = df.where(F.col(id_col).isNotNull() & (F.trim(line_col) != "")).select(F.col(id_col).cast("bigint").alias("line_id"), F.col(line_col).cast("string").alias("line"))
+    return rows.mapInArrow(read, "line_id BIGINT, key BINARY").where("key IS NOT NULL")
+
+
+def parsed_lines(df: DataFrame, keep: list[str], line_col: str = "line", fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """The kept columns and the fields of each sound line."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [fields_of(line, fields) for line in batch.column(len(keep)).to_pylist()]
+            sound = batch.filter(pa.array([v is not None for v in values], pa.bool_()))
+            values = [v for v in values if v is not None]
+            columns = [sound.column(i) for i in range(len(keep))] + [pa.array([v[i] for v in values], pa.string()) for i in range(len(fields))]
+            yield pa.RecordBatch.from_arrays(columns, [*keep, *fields])
+
+    kinds = dict(df.dtypes)
+    rows = df.select(*keep, F.col(line_col).cast("string").alias("__line"))
+    return rows.mapInArrow(read, ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [f"{f} STRING" for f in fields]))
 
 
 class CopyLedger:
@@ -56,7 +96,7 @@ class CopyLedger:
     old one as it was.
     """
 
-    def __init__(self, spark: SparkSession, buckets: int = 64):
+    def __init__(self, spark: SparkSession, buckets: int = 32):
         self.spark, self.buckets, self.path = spark, buckets, fresh_path(spark, "ledger")
         self.current: dict[int, int] = {}
         self.batches = 0
@@ -93,9 +133,3 @@ class CopyLedger:
             name = status.getPath().getName()
             if name.startswith("bucket="):
                 self.current[int(name[7:])] = self.batches
-
-
-def canonical_lines(df: DataFrame, id_col: str = "line_id", line_col: str = "line", fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """(line_id, key) of each sound line."""
-    parsed = parse_lines(df.select(F.col(id_col).alias("line_id"), F.col(line_col).alias("line")), "line", fields)
-    return parsed.where("record IS NOT NULL AND line_id IS NOT NULL").select("line_id", record_key([F.col("record")[f] for f in fields]).alias("key"))

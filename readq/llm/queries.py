@@ -69,11 +69,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_records(spark: SparkSession, d: str) -> DataFrame:
     """One record each, as its earliest line has it, with its number of copies."""
-    from readq.llm.formatting_duplicates import FIELDS, parse_lines
+    from readq.llm.formatting_duplicates import parsed_lines
 
     _, ledger = _ledger(spark, d)
-    rows = table(spark, d, "qde_lines").select("line_id", "line").join(ledger.rows().select(F.col("keep_id").alias("line_id"), "copies"), "line_id")
-    return parse_lines(rows).select(F.col("line_id").alias("keep_id"), *[F.col("record")[f].alias(f) for f in FIELDS], "copies")
+    rows = table(spark, d, "qde_lines").select(F.col("line_id").alias("keep_id"), "line").join(ledger.rows().select("keep_id", "copies"), "keep_id")
+    return parsed_lines(rows, ["keep_id", "copies"])
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -193,5 +193,35 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in ALL}
 
 
+_code = "nullif(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), '')"
+_canon = r"regexp_replace(lower({0}), '[\p{{P}}\p{{Z}}\p{{C}}\s\x{{34F}}\x{{115F}}\x{{1160}}\x{{17B4}}\x{{17B5}}\x{{180B}}-\x{{180F}}\x{{3164}}\x{{FE00}}-\x{{FE0F}}\x{{FFA0}}]+', '', 'g')"
+_fields = ("passage", "question", "answer", "difficulty", "source")
+_sound = (
+    "SELECT line_id, " + ", ".join(f"line ->> '$.{f}' AS {f}" for f in _fields) + ", md5(" + " || chr(31) || ".join(f"coalesce({_canon.format(f"(line ->> '$.{f}')")}, '')" for f in _fields) + ") AS key "
+    "FROM (SELECT * FROM qde_lines WHERE json_valid(line)) WHERE json_type(line) = 'OBJECT' AND list_has_all(json_keys(line), [" + ", ".join(f"'{f}'" for f in _fields) + "])"
+)
+# Mixing: sizes of the ingredients, water-filling in order of cap / weight, then the records in the seeded order within the rest.
+_mixing = f"""
+r AS (SELECT rec_id, min({_code.format('source')}) AS source, min(upper({_code.format('difficulty')})) AS difficulty, max(coalesce(length(passage), 0) + coalesce(length(question), 0) + coalesce(length(answer), 0)) AS size FROM qde WHERE rec_id IS NOT NULL GROUP BY 1),
+i0 AS (SELECT mix_id, {_code.format('source')} AS source, upper({_code.format('difficulty')}) AS difficulty, sum(weight) AS weight, max(max_repeats) AS max_repeats, max(size_ratio) AS size_ratio FROM mix_targets WHERE weight > 0 AND max_repeats > 0 AND mix_id IS NOT NULL AND source IS NOT NULL GROUP BY 1, 2, 3),
+m AS (SELECT i0.mix_id, i0.source, i0.difficulty, r.rec_id, r.size FROM i0 JOIN r ON r.source = i0.source AND (r.difficulty = i0.difficulty OR (i0.difficulty IS NULL AND NOT EXISTS (SELECT 1 FROM i0 x WHERE x.mix_id = i0.mix_id AND x.source = i0.source AND x.difficulty = r.difficulty)))),
+i1 AS (SELECT i0.*, coalesce(n.n, 0) AS records, coalesce(n.size, 0) AS size, coalesce(n.size, 0) * max_repeats AS cap, max(size_ratio) OVER (PARTITION BY i0.mix_id) * (SELECT sum(size) FROM r) AS wanted FROM i0 LEFT JOIN (SELECT mix_id, source, difficulty, count(*) AS n, sum(size) AS size FROM m GROUP BY 1, 2, 3) n ON n.mix_id = i0.mix_id AND n.source = i0.source AND n.difficulty IS NOT DISTINCT FROM i0.difficulty),
+i2 AS (SELECT *, (wanted - coalesce(sum(cap) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM i1 WINDOW w AS (PARTITION BY mix_id ORDER BY cap / weight, source, difficulty NULLS FIRST)),
+i3 AS (SELECT *, cap <= level * weight AS clamped, max(CASE WHEN cap > level * weight THEN level END) OVER (PARTITION BY mix_id) AS final, weight / sum(weight) OVER (PARTITION BY mix_id) AS target_share FROM i2),
+i4 AS (SELECT *, CASE WHEN size > 0 THEN least(round((CASE WHEN clamped THEN cap ELSE final * weight END) / size, 9), max_repeats) ELSE 0 END AS epochs FROM i3),
+i5 AS (SELECT *, floor(epochs) AS whole, round((epochs - floor(epochs)) * size, 3) AS rest FROM i4),
+c AS (SELECT m.*, whole, rest, sum(m.size) OVER (PARTITION BY m.mix_id, m.source, m.difficulty ORDER BY md5('20|' || m.mix_id || '|' || m.rec_id::VARCHAR), m.rec_id) AS upto FROM m JOIN i5 ON i5.mix_id = m.mix_id AND i5.source = m.source AND i5.difficulty IS NOT DISTINCT FROM m.difficulty),
+g AS (SELECT mix_id, source, difficulty, rec_id, size, (whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END)::INT AS repeats FROM c)"""
+
+SQL = {
+    "p2_mix": f"WITH {_mixing} SELECT mix_id, source, difficulty, rec_id, repeats FROM g WHERE repeats > 0",
+    "p2_shares": f"""WITH {_mixing}, s AS (SELECT mix_id, source, difficulty, count(*) AS n, sum(size * repeats) AS reached FROM g WHERE repeats > 0 GROUP BY 1, 2, 3)
+        SELECT i5.mix_id, i5.source, i5.difficulty, round(target_share, 6) AS target_share, coalesce(n, 0) AS n_records, coalesce(reached, 0)::BIGINT AS reached_size, round(wanted, 1) AS wanted_size,
+          round(coalesce(reached / sum(reached) OVER (PARTITION BY i5.mix_id), 0.0), 6) AS reached_share FROM i5 LEFT JOIN s ON s.mix_id = i5.mix_id AND s.source = i5.source AND s.difficulty IS NOT DISTINCT FROM i5.difficulty""",
+    "p4_found": f"WITH s AS ({_sound}), k AS (SELECT line_id, min(line_id) OVER (PARTITION BY key) AS keep_id FROM s) SELECT keep_id, line_id AS dup_id FROM k WHERE keep_id <> line_id",
+    "p4_records": f"WITH s AS ({_sound}), k AS (SELECT *, min(line_id) OVER (PARTITION BY key) AS keep_id, count(*) OVER (PARTITION BY key) AS copies FROM s) SELECT keep_id, {', '.join(_fields)}, copies FROM k WHERE keep_id = line_id",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
