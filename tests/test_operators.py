@@ -182,3 +182,51 @@ def test_sinks_and_streaming(spark, tmp_path):
     df.union(spark.createDataFrame([(3, "val", "zz")], df.schema)).write.mode("append").parquet(str(tmp_path / "in"))
     run()
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "done")).collect()) == [1, 2, 3]
+
+
+def word(i, text, lemma, upos, head, deprel, feats=None):
+    return (i, text, lemma, upos, feats, head, deprel)
+
+
+def test_extraction_from_parses(spark):
+    from readq.operators import extract as E
+
+    founded = (
+        "Ada and Ben founded Nolia in Oslo .",
+        [word(1, "Ada", "Ada", "PROPN", 4, "nsubj"), word(2, "and", "and", "CCONJ", 3, "cc"), word(3, "Ben", "Ben", "PROPN", 1, "conj"), word(4, "founded", "found", "VERB", 0, "root"),
+         word(5, "Nolia", "Nolia", "PROPN", 4, "obj"), word(6, "in", "in", "ADP", 7, "case"), word(7, "Oslo", "Oslo", "PROPN", 4, "obl")],
+        [([1], "PERSON", "Ada"), ([3], "PERSON", "Ben"), ([5], "ORG", "Nolia"), ([7], "GPE", "Oslo")],
+    )
+    copula = (
+        "She is the head of Nolia .",
+        [word(1, "She", "she", "PRON", 4, "nsubj"), word(2, "is", "be", "AUX", 4, "cop"), word(3, "the", "the", "DET", 4, "det"), word(4, "head", "head", "NOUN", 0, "root"), word(5, "of", "of", "ADP", 6, "case"), word(6, "Nolia", "Nolia", "PROPN", 4, "nmod")],
+        [([6], "ORG", "Nolia")],
+    )
+    passive = (
+        "Nolia was sold by a big company (1999)",
+        [word(1, "Nolia", "Nolia", "PROPN", 3, "nsubj:pass"), word(2, "was", "be", "AUX", 3, "aux:pass"), word(3, "sold", "sell", "VERB", 0, "root", "Voice=Pass"), word(4, "by", "by", "ADP", 6, "case"), word(5, "big", "big", "ADJ", 6, "amod"), word(6, "company", "company", "NOUN", 3, "obl:agent"),
+         word(7, "1999", "1999", "NUM", 6, "appos")],
+        [([1], "ORG", "Nolia")],
+    )
+    parsed = spark.createDataFrame([(1, [founded, copula, passive], [("Ada Berg", ["She"])]), (2, None, None), (3, [], None)], E.PARSE)
+    rows = E.extract(parsed, resolve=True).orderBy("ord").collect()
+    assert [(r["subject"], r["relation"], r["object"]) for r in rows] == [
+        ("Ada", "found", "Nolia"), ("Ada", "found_in", "Oslo"), ("Ben", "found", "Nolia"), ("Ben", "found_in", "Oslo"), ("Ada Berg", "be", "head"), ("Ada Berg", "be_of", "Nolia"),
+        ("Nolia", "sell_by", "big company"), ("company", "year", "1999"),
+    ]
+    assert rows[6]["is_passive"] and rows[4]["coref_distance"] == 1 and rows[1]["answer_depth"] == 1 and rows[0]["object_type"] == "ORG"
+    loop = ("a b", [word(1, "a", "a", "VERB", 2, "conj"), word(2, "b", "b", "VERB", 1, "conj")], None)
+    assert E.extract(spark.createDataFrame([(1, [loop], None)], E.PARSE)).count() == 0
+
+
+def test_verb_variants(spark):
+    from readq.operators import variants
+
+    q = spark.createDataFrame([(1, "Who founded Nolia?", "founded", "found", "VBD"), (2, "Who did it?", "did", "do", "VBD")], "question_id INT, text STRING, verb_text STRING, verb_lemma STRING, verb_form STRING")
+    near = spark.createDataFrame([("founded", "start", 0.9, "A1"), ("founded", "create", 0.8, "A2"), ("founded", "found", 0.7, "C1"), ("did", "make", 0.9, "A1")], "verb STRING, other STRING, similarity DOUBLE, band STRING")
+    forms = spark.createDataFrame([("start", "VBD", "started"), ("create", "VBD", "created")], "lemma STRING, form STRING, text STRING")
+    got = {(r["question_id"], r["text"]) for r in variants.question_variants(q, near, forms).collect()}
+    assert got == {(1, "Who started Nolia?"), (1, "Who created Nolia?"), (1, "Who found Nolia?")}
+    vectors = spark.createDataFrame([("run", [1.0, 0.0], True), ("walk", [0.9, 0.1], False), ("tree", [0.0, 1.0], False)], "word STRING, vec ARRAY<DOUBLE>, is_verb BOOLEAN")
+    freqs = spark.createDataFrame([("walk", 0.0005), ("tree", 0.1)], "word STRING, freq DOUBLE")
+    assert [(r["verb"], r["other"], r["band"]) for r in variants.verb_neighbours(vectors, freqs).collect()] == [("run", "walk", "A2")]
