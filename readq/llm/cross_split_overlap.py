@@ -48,11 +48,11 @@ RUNS = 32
 #: Runs that so few passages of a shard share are drawn from alike; more widespread ones come after them, the rarer the sooner.
 RARE = 4
 #: Words of all passages of a shard, about; it bounds the memory an automaton takes.
-SHARD_WORDS = 600_000
+SHARD_WORDS = 1_000_000
 #: A worker remembers so many texts.
 REMEMBERED = 100_000
 #: Lengths within a band differ by this factor.
-BAND = 1.5
+BAND = 1.3
 #: Share of the words in a passage's patterns that must be found in a text before the two are compared.
 COVERED = 0.1
 #: A task holds so many characters of training texts while the automata pass.
@@ -102,6 +102,11 @@ def run_length(n: int) -> int:
     return 1 if n < 2 else 2 if n < 24 else 3 if n < 40 else 4 if n < 90 else 5
 
 
+def run_places(n: int) -> range:
+    """Where the runs of a passage of n words may begin: of a long one, about twice as many places as will be chosen, at even distances."""
+    return range(0, n - run_length(n) + 1, max(1, n // (2 * RUNS)))
+
+
 class Shard:
     """An automaton over runs of words of some passages."""
 
@@ -109,23 +114,21 @@ class Shard:
         self.keys, self.texts = keys, texts
         symbols = Symbols()
         self.coded = [symbols.code(t) for t in texts]
-        # Of long passages, about twice as many runs as will be chosen, at even distances.
-        at = [range(0, len(t) - n + 1, max(1, len(t) // (2 * RUNS))) for t in self.coded for n in (run_length(len(t)),)]
-        runs = [[t[i : i + run_length(len(t))] for i in places] for t, places in zip(self.coded, at)]
-        spread = Counter(x for r in runs for x in set(r))
         places: dict[str, list[tuple[int, int]]] = {}
+        spread = Counter(x for t in self.coded for x in {t[i : i + run_length(len(t))] for i in run_places(len(t))})
         self.least = []
-        for c, r in enumerate(runs):
-            chosen = range(len(r))
-            if len(r) > RUNS and len(self.coded[c]) >= 24:
-                drawn = [(max(RARE, spread[x]), (ord(x[0]) * 40503 + ord(x[1]) * 30011 + ord(x[-1])) % 65521, i) for i, x in enumerate(r)]
+        for c, t in enumerate(self.coded):
+            n = run_length(len(t))
+            chosen = run_places(len(t))
+            if len(chosen) > RUNS and len(t) >= 24:
+                drawn = [(max(RARE, spread[t[i : i + n]]), (ord(t[i]) * 40503 + ord(t[i + 1]) * 30011 + ord(t[i + n - 1])) % 65521, i) for i in chosen]
                 chosen = [i for _, _, i in nsmallest(RUNS, drawn)]
             mask = 0
             for i in chosen:
-                place = at[c][i]
-                places.setdefault(r[i], []).append((c, place))
-                mask |= ((1 << len(r[i])) - 1) << place
+                places.setdefault(t[i : i + n], []).append((c, i))
+                mask |= ((1 << n) - 1) << i
             self.least.append(COVERED * mask.bit_count())
+        del spread
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
         for pattern, found in places.items():
             self.automaton.add_word(pattern, (len(pattern), tuple(found)))
@@ -141,7 +144,7 @@ class Shard:
             for c, i in at:
                 covered[c] = get(c, 0) | (block << i)
         found = []
-        n = len(coded)
+        n, own = len(coded), None
         for c, mask in covered.items():
             if mask.bit_count() < self.least[c]:
                 continue
@@ -149,6 +152,10 @@ class Shard:
             longer = max(len(other), n)
             if min(len(other), n) < KEPT * longer:
                 continue
+            # Words of the passage that the text lacks are lost for certain.
+            own = own or set(coded)
+            if len(set(other) - own) > len(other) - KEPT * longer:
+                continue
             if self.texts[c] == text or common_words(other, coded) >= KEPT * longer and near(self.texts[c].split(" "), text.split(" ")):
                 found.append(self.keys[c])
         return found
