@@ -49,6 +49,8 @@ RUNS = 32
 RARE = 4
 #: Words of all passages of a shard, about; it bounds the memory an automaton takes.
 SHARD_WORDS = 1_000_000
+#: Words rarer than one in so many are not counted for the order of the prefix filter.
+FREQUENT = 20_000
 #: A worker remembers so many texts.
 REMEMBERED = 100_000
 #: Lengths within a band differ by this factor.
@@ -290,11 +292,21 @@ def passage_links(records: DataFrame) -> DataFrame:
     return materialise(train.mapInArrow(scan, "tk BINARY, ek BINARY").distinct(), "links")
 
 
-def prefix_words(col: str):
-    """The first fifth (and one more) of a text's different words, long ones first."""
-    words = F.split(F.col(col), " ")
-    ordered = F.array_sort(F.transform(F.array_distinct(words), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
-    return F.transform(F.slice(ordered, 1, F.floor(F.size(words) * F.lit(1 - KEPT) + 1e-9).cast("int") + 1), lambda x: x["w"])
+def prefix_words(questions: DataFrame) -> DataFrame:
+    """(question, word): the first fifth (and one more) of the different words of each text, rare words first.
+
+    Only words that make up a FREQUENT-th of all words or more have a count in the order, so the table of counts that is
+    broadcast has at most FREQUENT rows; all others come before them, long ones first.
+    """
+    texts = materialise(questions.select("question").distinct(), "questions")
+    each = texts.select("question", F.explode(F.array_distinct(F.split("question", " "))).alias("word"))
+    counts = each.groupBy("word").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    frequent = counts.where(F.col("n") >= max(2, -(-total // FREQUENT)))
+    ranked = each.join(F.broadcast(frequent), "word", "left").groupBy("question").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), (-F.length("word")).alias("l"), "word"))).alias("ranked"))
+    words = F.size(F.split("question", " "))
+    first = F.slice("ranked", 1, F.floor(words * F.lit(1 - KEPT) + 1e-9).cast("int") + 1)
+    return ranked.select("question", F.explode(first).alias("x")).select("question", "x.word")
 
 
 def overlapping_records(df: DataFrame) -> DataFrame:
@@ -306,10 +318,9 @@ def overlapping_records(df: DataFrame) -> DataFrame:
     keys = links.select(F.col("tk").alias("k"), F.lit("T").alias("role")).union(links.select(F.col("ek").alias("k"), F.lit("E").alias("role"))).distinct()
     small = materialise(small.distinct().join(keys, ["k", "role"], "left_semi"), "records")
     questions = small.select("k", "role", "question").distinct()
-    t = links.join(questions.where("role = 'T'").select(F.col("k").alias("tk"), F.col("question").alias("tq")), "tk")
-    e = links.join(questions.where("role = 'E'").select(F.col("k").alias("ek"), F.col("question").alias("eq")), "ek")
-    t = t.withColumn("word", F.explode(prefix_words("tq")))
-    e = e.withColumn("word", F.explode(prefix_words("eq")))
+    keyed = questions.join(prefix_words(questions), "question")
+    t = links.join(keyed.where("role = 'T'").select(F.col("k").alias("tk"), F.col("question").alias("tq"), "word"), "tk")
+    e = links.join(keyed.where("role = 'E'").select(F.col("k").alias("ek"), F.col("question").alias("eq"), "word"), "ek")
     n = lambda c: F.size(F.split(c, " "))
     met = t.join(e, ["tk", "ek", "word"]).where(F.least(n("tq"), n("eq")) >= KEPT * F.greatest(n("tq"), n("eq"))).select("tk", "ek", "tq", "eq").distinct()
 
