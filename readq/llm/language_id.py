@@ -266,7 +266,7 @@ def fit_filter(labelled: DataFrame, text_col: str = "text", label_col: str = "la
         part = F.when(F.col("l") == code, min(1.0, 1.5 * per_language / n)).otherwise(part)
     drawn = F.pmod(F.xxhash64("t"), F.lit(1 << 30)) / float(1 << 30)
     texts: dict[str, list[str]] = {}
-    for t, code in rows.where(drawn < part).limit(2 * per_language * N).collect():
+    for t, code in rows.where(drawn < part).distinct().limit(2 * per_language * N).collect():
         if len(texts.setdefault(code, [])) < 2 * per_language:
             texts[code].append(t)
     texts = {code: list(dict.fromkeys(x)) for code, x in texts.items()}

@@ -308,7 +308,8 @@ def examples(setting: Setting, rows: list[tuple[str, str]], seed: int) -> list[t
         if 0 < len(x) <= 6:
             out.append((a, x, [tag] * (len(x) - 1) + [tag if last is None else last]))
 
-    for q, p, s, code in parsed:
+    # Few rows are gone through several times, each time with other draws.
+    for q, p, s, code in parsed * max(1, 200 // max(1, len(parsed))):
         names = sorted({w for w in _WORD.findall(p)[1:] if w[:1].isupper() and len(w) > 2}) or ["Anna"]
         sentence = rng.choice(s)
         w = _WORD.findall(sentence)
@@ -358,7 +359,7 @@ def train(df: DataFrame, per_language: int = 300) -> DefectModel:
     usable = df.where("question IS NOT NULL AND passage IS NOT NULL").where(F.length("passage") < 20_000).select("question", "passage")
     n = usable.count()
     drawn = F.pmod(F.xxhash64("question", "passage"), F.lit(1 << 30)) / float(1 << 30)
-    rows = [tuple(r) for r in usable.where(drawn < min(1.0, 1.3 * SAMPLE / max(n, 1))).limit(SAMPLE).collect()]
+    rows = [tuple(r) for r in usable.where(drawn < min(1.0, 1.3 * SAMPLE / max(n, 1))).distinct().limit(SAMPLE).collect()]
     return DefectModel(Setting(filters, [p for _, p in rows]), rows)
 
 
