@@ -18,13 +18,15 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readq.functions.text import canonical_text, let
 from readq.operators.ordered import prefix_sum
 from readq.session import materialise
 
+#: So many splits may be wanted.
+MAX_SPLITS = 1000
 #: A worker remembers so many texts.
 REMEMBERED = 100_000
 #: Words that stand for nobody, as the author key writes them (names sorted, lower case).
@@ -126,18 +128,21 @@ def linked_groups(df: DataFrame, id_col: str = "rec_id", passage_col: str = "pas
 def split_groups(groups: DataFrame, shares: DataFrame, seed: int = 11) -> DataFrame:
     """A split for each record of (group_id, rec_id): groups in order of falling size (ties by a seeded hash) are laid end to
     end, and a group gets the split whose stretch of the total weight holds the group's middle. Every record of a group gets
-    the same one. shares: (split, share), few rows; shares count relative to their sum; null or non-positive shares get nothing.
+    the same one. shares: (split, share); shares count relative to their sum; null or non-positive shares get nothing.
     """
     sizes = groups.groupBy("group_id").agg(F.count("*").alias("size"))
     # The order by name within the largest share first keeps a giant group in the largest split.
     laid = prefix_sum(sizes, [F.col("size").desc(), F.xxhash64(F.lit(seed), F.col("group_id")), F.col("group_id")], F.col("size"))
-    total = sizes.agg(F.sum("size").alias("total"))
-    usable = shares.where("share > 0 AND split IS NOT NULL").groupBy("split").agg(F.sum("share").alias("share"))
-    order = Window.orderBy(F.col("share").desc(), "split")
-    ends = usable.withColumn("end", F.sum("share").over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("share").over(Window.partitionBy()))
-    ends = ends.select(F.struct("end", "split").alias("e")).agg(F.array_sort(F.collect_list("e")).alias("ends"))  # one row for each split wanted
-    middle = (F.col("before") + F.col("size") / 2) / F.col("total")
-    chosen = laid.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(ends))  # one row each
-    at = F.filter("ends", lambda e: e["end"] > middle)
-    split = F.when(F.size(at) > 0, at[0]["split"]).otherwise(F.element_at("ends", -1)["split"])
+    total = sizes.agg(F.sum("size")).first()[0] or 1
+    wanted = shares.where("share > 0 AND split IS NOT NULL").groupBy("split").agg(F.sum("share").alias("share")).orderBy(F.desc("share"), "split").limit(MAX_SPLITS + 1).collect()
+    if not 0 < len(wanted) <= MAX_SPLITS:
+        raise ValueError(f"1 to {MAX_SPLITS} splits are wanted")
+    middle, end, split = (F.col("before") + F.col("size") / 2) / total, 0.0, F.lit(wanted[-1]["split"])
+    ends = []
+    for r in wanted:
+        end += r["share"] / sum(x["share"] for x in wanted)
+        ends.append((end, r["split"]))
+    for end, name in reversed(ends[:-1]):
+        split = F.when(middle < end, name).otherwise(split)
+    chosen = laid
     return groups.join(chosen.select("group_id", split.alias("split")), "group_id").select("rec_id", "group_id", "split")

@@ -69,14 +69,14 @@ class SourceMix:
 
     def ingredients(self) -> DataFrame:
         """One row for each ingredient: its records, their size, and the amount and epochs it gets."""
-        total = self.records.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("all_size"))
+        total = self.records.agg(F.sum("size")).first()[0] or 0
         sizes = self._matched(self.listed).groupBy("i.mix_id", "i.source", "i.difficulty").agg(F.count("*").alias("records"), F.sum("r.size").alias("size"))
         keys = ["mix_id", "source", "difficulty"]
         i, s = self.listed.alias("i"), sizes.alias("s")
         on = (F.col("i.mix_id") == F.col("s.mix_id")) & (F.col("i.source") == F.col("s.source")) & F.col("i.difficulty").eqNullSafe(F.col("s.difficulty"))
         have = i.join(s, on, "left").select(*[f"i.{k}" for k in keys], "i.weight", "i.max_repeats", "i.size_ratio", "i.named", F.coalesce("s.records", F.lit(0)).alias("records"), F.coalesce("s.size", F.lit(0)).alias("size"))
         mix = Window.partitionBy("mix_id")
-        have = have.crossJoin(F.broadcast(total))  # one row
+        have = have.withColumn("all_size", F.lit(total).cast("bigint"))
         have = have.withColumn("cap", F.col("size") * F.col("max_repeats")).withColumn("wanted", F.max("size_ratio").over(mix) * F.col("all_size"))
         filled = water_fill(have).withColumn("target_share", F.col("weight") / F.sum("weight").over(mix))
         # Rounded, so that the last bits of the arithmetic never decide about an epoch or a record.
