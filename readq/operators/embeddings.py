@@ -10,6 +10,8 @@ from readq.operators.prep import first_per_group
 
 #: Queries of one block; each block is broadcast, so its size bounds what an executor holds.
 BLOCK_ROWS = 2_000
+#: Labels that triplets are drawn from.
+MAX_LABELS = 100
 
 
 def nearest(df: DataFrame, queries: DataFrame, id_col: str = "id", vector: str = "embedding", n: int = 20, least: float | None = None) -> DataFrame:
@@ -48,8 +50,11 @@ def triplets(df: DataFrame, id_col: str = "id", label: str = "label", mode: str
     starts = placed.groupBy("label").agg(F.min("at").alias("first"))
     table = counts.join(starts, "label")
     placed = placed.join(F.broadcast(starts), "label").select("id", "label", "h", (F.col("at") - F.col("first")).alias("at"))
-    far = table.select(F.sort_array(F.collect_list(F.struct("label", "size"))).alias("labels"))  # one row; as many entries as labels
-    rows = placed.crossJoin(F.broadcast(far))
+    known = [(r["label"], r["size"]) for r in table.orderBy("label").limit(MAX_LABELS + 1).collect()]
+    if len(known) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels")
+    labels = F.array(*[F.struct(F.lit(n).alias("label"), F.lit(k).cast("bigint").alias("size")) for n, k in known]) if known else F.array().cast("array<struct<label:string,size:bigint>>")
+    rows = placed.withColumn("labels", labels)
     others = F.filter("labels", lambda x: x["label"] != F.col("label"))
     pick = lambda xs, salt: F.get(xs, F.pmod(F.xxhash64(F.lit(salt), "id"), F.size(xs)).cast("int"))
     named = lambda name: F.element_at(F.filter("labels", lambda x: x["label"] == name), 1)

@@ -58,6 +58,5 @@ def corpus_frequencies(df: DataFrame, text: str) -> DataFrame:
     from readq.functions import text as T
 
     words = df.select(F.explode(T.tokens(text)).alias("word")).where(~F.contains(F.col("word"), F.lit("'"))).groupBy("word").agg(F.count("*").alias("n"))
-    total = words.agg(F.sum("n").alias("total"))  # one row
-    freq = F.col("n") / F.col("total")
-    return words.crossJoin(F.broadcast(total)).select("word", freq.alias("freq"), (F.log10(freq) + 9).alias("zipf"))
+    freq = F.col("n") / F.lit(words.agg(F.sum("n")).first()[0] or 1)
+    return words.select("word", freq.alias("freq"), (F.log10(freq) + 9).alias("zipf"))
