@@ -33,18 +33,20 @@ from readq.llm.language_id import LANGS, LanguageFilter, fit_filter
 SAMPLE = 1000
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(len(TAGS))
-#: Strings that stand for no answer, besides those without letters and digits.
-PLACEHOLDERS = frozenset(("n/a", "n.a.", "na", "n a", "null", "nan", "tbd", "undefined", "n.a", "#n/a"))
-
-APOLOGY = """sorry apolog regret unfortunat afraid pahoittel valitettav anteeksi leid leider entschuldig bedau siento lament perdon perdón disculp
-désolé desol regrett malheureus excus sinto desculp infelizmente извин прост сожалени samahani bahati pole maaf mohon sayangnya""".split()
-UNABLE = """cannot can't cant unable won't wont decline impossible refuse couldn't allowed möglich kann darf imposible puedo peux possible posso consigo
-impossível могу невозможно нельзя siwezi haiwezekani voi pysty kykene mahdollista dapat bisa able not nicht no ne pas não не tidak en""".split()
-TASK = """answer help assist respon reply request question information guideline provid discuss vastau vastata vastaamaan auttaa auta pyyntö kysymy antwort
-beantwort helfen frage anfrage hilfe respuesta ayudar pregunta petición peticion répon aider demande respost ajudar pergunt pedido ответ помо вопрос
-запрос jibu kujibu kusaidia swali ombi jawab menjawab membantu bantu pertanyaan permintaan passage text supplied""".split()
-SELF = """i i'm im my me i'll i've model assistant ai minä en minun ich mir mich yo me mi puedo je j'ai moi mon peux suis eu meu posso sinto consigo я мне меня мной
-могу siwezi mimi saya aku kami""".split()
+#: Strings that stand for no answer, besides those without letters and digits; and those that do so in brackets.
+PLACEHOLDERS = frozenset(("n/a", "n.a.", "na", "n a", "null", "nan", "tbd", "tba", "undefined", "n.a", "#n/a", "no answer", "no answer given"))
+BRACKETED = frozenset(("blank", "empty", "none", "nil", "missing", "unknown", "no answer", "no response", "no text", "not available", "not applicable", "not given", "unanswered", "answer missing", "answer"))
+
+APOLOGY = """sorry apolog regret unfortunat afraid pahoittel pahoill valitet anteeksi ikävä leid leider entschuldig bedau siento lament perdon perdón disculp desgracia
+désolé desol regrett malheureus excus hélas sinto desculp infelizmente извин прост сожален увы samahani bahati pole nasikitika maaf mohon sayang""".split()
+UNABLE = """cannot can't cant unable won't wont decline impossible refuse couldn't allowed möglich unmöglich kann darf imposible puedo permite permiso peux possible autorisé
+droit posso consigo impossível possível permissão могу невозможно нельзя вправе права siwezi haiwezekani sina ruhusa sitaweza voi pysty kykene saa mahdollista lupaa
+dapat bisa diizinkan able not nicht keine no ne pas não не tidak tak en""".split()
+TASK = """answer help assist respon repl request question information guideline provid discuss vasta vastau autt auta pyyntö kysymy antwort beantwort helf hilf frag anfrag bitte
+respuest respond ayud pregunt petici solicit répon repon aid demand respost ajud pergunt pedido ответ отвеч помо вопрос запрос просьб jibu kujibu kusaidia saidia swali ombi
+jawab menjawab membantu bantu pertanyaan permintaan passage text supplied""".split()
+SELF = """i i'm im my me i'll i've model assistant ai minä en minun olen ich mir mich bin yo me mi puedo tengo je j'ai moi mon peux suis m'est eu meu posso sinto consigo tenho
+я мне меня мной могу siwezi sina mimi saya aku kami""".split()
 SPEECH = """said asked refused answered replied told thought wrote sanoi kieltäytyi vastasi sagte fragte antwortete dijo preguntó respondió dit demanda raconta disse
 perguntou respondeu сказал сказала говорит ответил alisema alijibu berkata menjawab was were could""".split()
 
@@ -61,12 +63,18 @@ REFUSALS = {
     "id": (("Maaf,", "Sayangnya,"), ("saya tidak dapat menjawab pertanyaan ini", "saya tidak bisa membantu dengan hal itu", "saya tidak dapat memberikan jawaban untuk permintaan ini"), ("Silakan tanyakan hal lain.",)),
 }
 #: What characters say and do with the same words.
-STORY = (
-    "{n} refused to help them.", "{n} could not answer the question.", "{n} said it was not possible to answer.", "{n} was sorry that nobody could help.", "\"I'm sorry, but I can't come,\" said {n}.",
-    "{n} was unable to help the others.", "\"I cannot help you,\" {n} answered.", "{n} kieltäytyi vastaamasta.", "{n} konnte die Frage nicht beantworten.", "{n} no pudo responder a la pregunta.",
-    "{n} ne pouvait pas répondre.", "{n} não conseguiu responder à pergunta.", "{n} не могла ответить на вопрос.", "{n} hakuweza kujibu swali.", "{n} tidak dapat menjawab pertanyaan itu.",
-    "Nobody knows.", "No.", "Nobody", "because {n} could not answer", "It is impossible.",
-)
+STORY = {
+    "en": ("{n} refused to help them.", "{n} could not answer the question.", "{n} said it was not possible to answer.", "{n} was sorry that nobody could help.", "\"I'm sorry, but I can't come,\" said {n}.", "{n} was unable to help the others.",
+           "\"I cannot help you,\" {n} answered.", "Nobody knows.", "No.", "Nobody", "because {n} could not answer", "It is impossible."),
+    "fi": ("{n} kieltäytyi vastaamasta.", "{n} ei voinut auttaa muita.", "{n} oli pahoillaan."),
+    "de": ("{n} konnte die Frage nicht beantworten.", "{n} wollte nicht helfen.", "Niemand"),
+    "es": ("{n} no pudo responder a la pregunta.", "{n} no quiso ayudar a nadie.", "Nadie"),
+    "fr": ("{n} ne pouvait pas répondre.", "{n} refusa d'aider les autres.", "Personne"),
+    "pt": ("{n} não conseguiu responder à pergunta.", "{n} não quis ajudar.", "Ninguém"),
+    "ru": ("{n} не могла ответить на вопрос.", "{n} не хотела помогать.", "Никто"),
+    "sw": ("{n} hakuweza kujibu swali.", "{n} hakutaka kusaidia."),
+    "id": ("{n} tidak dapat menjawab pertanyaan itu.", "{n} tidak mau membantu."),
+}
 
 _HIDDEN = re.compile("[­​-‏⁠-⁯﻿]")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
@@ -87,7 +95,9 @@ def is_empty(answer: str | None) -> bool:
     if answer is None:
         return True
     text = clean(answer)
-    return not any(c.isalnum() for c in text) or text.lower().strip(" \"'[]()") in PLACEHOLDERS
+    low = text.lower().strip(" \"'.")
+    inner = low.strip("<>[](){}*- ")
+    return not any(c.isalnum() for c in text) or low in PLACEHOLDERS or inner in PLACEHOLDERS or (inner != low and inner in BRACKETED)
 
 
 class Setting:
@@ -110,6 +120,14 @@ class Setting:
         hits, known = self.filters.counts(text, [len(text)])
         return hits[0], float(known[0])
 
+    def own_language(self, hits: np.ndarray, known: float, passage: str) -> int:
+        """The question's language; if its words leave it open, the passage's words count as well."""
+        top = np.sort(hits)[::-1]
+        if top[0] - top[1] < 0.2 * max(known, 1) and passage:
+            more, n = self.language(passage)
+            hits = hits / max(known, 1) + 0.5 * more / max(n, 1)
+        return int(hits.argmax())
+
     def features(self, question: str, answer: str, passage: str | None) -> tuple[list[int], np.ndarray, float]:
         """For each clause its number of words and its features; and the share of the question's words that the answer holds in order."""
         answer, question, passage = clean(answer), clean(question), clean(passage or "")
@@ -119,7 +137,7 @@ class Setting:
         in_order = common(qw, aw)
         repeats = in_order / max(1, len(qw))
         q_hits, q_known = self.language(question)
-        own = int(q_hits.argmax())
+        own = self.own_language(q_hits, q_known, passage)
         body = f" {' '.join(words(passage))} "
         broken, mid, inside, whole = self._broken(answer, aw, passage, body)
         names = frozenset(w.lower() for w in _WORD.findall(passage + " " + question) if w[:1].isupper())
@@ -294,7 +312,7 @@ def examples(setting: Setting, rows: list[tuple[str, str]], seed: int) -> list[t
         q, p = clean(q), clean(p)
         s = [x.strip() for x in _SENTENCE.split(p) if len(words(x)) >= 4]
         if s and len(words(q)) >= 3:
-            parsed.append((q, p, s, LANGS[int(setting.language(q)[0].argmax())]))
+            parsed.append((q, p, s, LANGS[setting.own_language(*setting.language(q), p)]))
     parsed.sort(key=lambda r: zlib.crc32((r[0] + r[1]).encode()))
     by_lang: dict[str, list[str]] = {}
     for _, _, s, code in parsed:
@@ -320,7 +338,7 @@ def examples(setting: Setting, rows: list[tuple[str, str]], seed: int) -> list[t
         add(q, span, p, ANSWER)
         other = rng.choice(by_lang[code])
         add(q, rng.choice((rng.choice(names), str(rng.randint(2, 2000)), other, other.split(", ", 1)[-1].rstrip("."))), p, ANSWER)
-        add(q, rng.choice(STORY).format(n=rng.choice(names)), p, ANSWER) if code == "en" else None
+        add(q, rng.choice(STORY[code]).format(n=rng.choice(names)), p, ANSWER)
         qw = q.split()
         add(q, " ".join(qw[rng.randint(1, min(3, len(qw) - 2)) :]).rstrip("?!. ") + rng.choice((" in 1987", " because of the rain.", " and that was good.", " in 1905.")), p, ANSWER) if code == "en" and len(qw) > 4 else None
         # Broken off: inside a word, between words, at a comma, with or without dots.
