@@ -42,3 +42,34 @@ OBJECT_ANCHORS = ("DATE", "TIME", "GPE", "LOC", "FAC")
 BRIDGE_TYPES = ("ORG", "PERSON", "PER", "GPE", "LOC", "FAC", "WORK_OF_ART", "PRODUCT")
 BRIDGE_ANCHORS = ("PERSON", "PER", "ORG", "GPE", "LOC", "FAC")
 BRIDGE_END_SKIP = ("DATE", "TIME", "MONEY", "CARDINAL", "PERCENT", "QUANTITY", "ORDINAL")
+
+# The same for Finnish.
+FI_QUESTION_WORDS = {
+    "DATE": "Milloin", "TIME": "Milloin",
+    "LOC": "Missä", "GPE": "Missä", "FAC": "Missä",
+    "PER": "Kuka", "PERSON": "Kuka",
+    "ORG": "Mikä", "PRO": "Mikä", "WORK_OF_ART": "Mikä",
+}
+FI_CASE_WORDS = {
+    "Ine": "Missä", "Ela": "Mistä", "Ill": "Mihin", "Ade": "Missä",
+    "Ess": "Milloin", "Gen": "Kenen", "Par": "Mitä", "Nom": "Mikä",
+    "Abl": "Mistä", "All": "Mihin", "Com": "Kenen", "Ins": "Millä",
+}
+FI_RELATION_NOUNS = {
+    "perustaa": "perustaja", "johtaa": "johtaja", "löytää": "löytäjä", "lead": "johtaja", "found": "perustaja", "establish": "perustaja",
+    "acquire": "hankkija", "invent": "keksijä",
+}
+FI_PLURALS = {
+    "ORG": "organisaatioita", "PERSON": "henkilöitä", "PER": "henkilöitä", "GPE": "paikkoja", "LOC": "paikkoja", "FAC": "tiloja",
+    "WORK_OF_ART": "teoksia", "PRODUCT": "tuotteita",
+}
+FI_SINGULARS = {
+    "ORG": "organisaatio", "PERSON": "henkilö", "PER": "henkilö", "GPE": "paikka", "LOC": "paikka", "FAC": "tila",
+    "WORK_OF_ART": "teos", "PRODUCT": "tuote",
+}
+
+#: Of each language: question words by type, the word for other types, question words by case, nouns of relations, plurals and singulars of types.
+TABLES = {
+    "en": (QUESTION_WORDS, "What", CASE_WORDS, RELATION_NOUNS, PLURALS, SINGULARS),
+    "fi": (FI_QUESTION_WORDS, "Mitä", FI_CASE_WORDS, FI_RELATION_NOUNS, FI_PLURALS, FI_SINGULARS),
+}

@@ -56,8 +56,20 @@ def fact_table(triples: DataFrame) -> DataFrame:
     return G.edges(triples).join(facts, ["doc_id", "src", "relation", "dst"])
 
 
-def question_word(answer_type: Column) -> Column:
-    return _word(L.QUESTION_WORDS, answer_type, "What")
+def question_word(answer_type: Column, lang: str = "en") -> Column:
+    return _word(L.TABLES[lang][0], answer_type, L.TABLES[lang][1])
+
+
+def _line(*parts: Column | str) -> Column:
+    """The parts with blanks between them and a question mark; names of columns begin with a dollar."""
+    return F.concat(F.concat_ws(" ", *[F.col(x[1:]) if isinstance(x, str) and x[:1] == "$" else F.lit(x) if isinstance(x, str) else x for x in parts]), F.lit("?"))
+
+
+def with_clitic(verb: Column) -> Column:
+    """The Finnish verb as the beginning of a yes/no question: -ko or -kö by its last vowel that asks for one, in capital letter."""
+    last = F.lower(F.regexp_extract(verb, "([aouäöyAOUÄÖY])[^aouäöyAOUÄÖY]*$", 1))
+    asked = F.concat(verb, F.when(last.isin("ä", "ö", "y"), "kö").otherwise("ko"))
+    return F.concat(F.upper(F.substring(asked, 1, 1)), F.lower(F.substring(asked, 2, 1_000_000)))
 
 
 def _implied(word: Column, prep: Column) -> Column:
@@ -90,7 +102,7 @@ def _order(side: int = 0) -> Column:
     return F.format_string("%012d.%012d.%012d.%d", e["src_ord"].cast("bigint"), e["first"].cast("bigint"), e["ord"].cast("bigint"), F.lit(side))
 
 
-def wh_questions(facts: DataFrame) -> DataFrame:
+def wh_questions(facts: DataFrame, lang: str = "en") -> DataFrame:
     """Questions for the object and for the subject of each typed edge, and for all objects of a kind at once."""
     verb = base_of("relation")
     typed = facts.where(~verb.isin(*L.SKIP_VERBS) & F.col("src_type").isNotNull() & F.col("dst_type").isNotNull() & ~F.col("relation").endswith("_as"))
@@ -107,7 +119,7 @@ def wh_questions(facts: DataFrame) -> DataFrame:
     objects = objects.join(members, ["doc_id", "src", "relation", "dst_type"], "left")
     objects = objects.withColumn("first", F.row_number().over(group("src", "relation", "dst_type").orderBy(place)) == 1)
     many = listed & (F.size(F.coalesce("members", F.array().cast("array<string>"))) >= 2) & F.col("first")
-    word = F.when(F.col("case") != "", F.coalesce(_word(L.CASE_WORDS, F.col("case")), question_word(F.col("dst_type")))).otherwise(question_word(F.col("dst_type")))
+    word = F.when(F.col("case") != "", F.coalesce(_word(L.TABLES[lang][2], F.col("case")), question_word(F.col("dst_type"), lang))).otherwise(question_word(F.col("dst_type"), lang))
     objects = objects.withColumns({"many": many, "word": word, "vt": vt})
     by_word = F.when(F.col("word") == "Who", "By whom").when(F.col("word") == "What", "By what").otherwise(F.concat(F.lit("By "), F.lower("word")))
     passive = (
@@ -116,11 +128,11 @@ def wh_questions(facts: DataFrame) -> DataFrame:
         .otherwise(F.concat("word", F.lit(" was "), "src", F.lit(" "), "vt", F.lit("?")))
     )
     active = F.concat("word", F.lit(" did "), "src", F.lit(" "), "base", F.lit("?"))
-    text = F.when(F.col("is_passive"), passive).otherwise(active)
-    nouns = _word(L.PLURALS, F.col("dst_type"))
+    text = F.when(F.col("is_passive"), passive).otherwise(active) if lang == "en" else _line("$word", "$src", "$vt")
+    nouns = _word(L.TABLES[lang][4], F.col("dst_type"))
     together = objects.where(F.col("many") & F.col("plain") & nouns.isNotNull())
     aggregation = _shape(
-        together, "aggregation", F.concat(F.lit("What "), nouns, F.lit(" did "), "src", F.lit(" "), "base", F.lit("?")), F.array_join("members", ", "), F.col("dst_type"), _order(0), s_local=F.col("s_local"), answer_list=F.col("members")
+        together, "aggregation", _line("What", nouns, "did", "$src", "$base") if lang == "en" else _line("Mitä", nouns, "$src", "$base"), F.array_join("members", ", "), F.col("dst_type"), _order(0), s_local=F.col("s_local"), answer_list=F.col("members")
     )
     alone = objects.where(~(F.col("many") & F.col("plain") & nouns.isNotNull()))
     lists = F.when(F.col("many"), F.col("members"))
@@ -133,10 +145,12 @@ def wh_questions(facts: DataFrame) -> DataFrame:
     subjects = subjects.join(doers, ["doc_id", "dst", "relation", "src_type"], "left")
     subjects = subjects.withColumn("first", F.row_number().over(group("dst", "relation", "src_type").orderBy(place)) == 1)
     shared = F.col("plain") & (F.size(F.coalesce("members", F.array().cast("array<string>"))) >= 2)
-    subjects = subjects.where(~shared | F.col("first")).withColumns({"word": question_word(F.col("src_type")), "vt": vt, "shared": shared})
+    subjects = subjects.where(~shared | F.col("first")).withColumns({"word": question_word(F.col("src_type"), lang), "vt": vt, "shared": shared})
     s_text = F.when(
         F.col("is_passive"), F.when(F.col("prep").isNotNull(), F.concat("word", F.lit(" was "), "vt", F.lit(" "), "prep", F.lit(" "), "dst", F.lit("?"))).otherwise(F.concat("word", F.lit(" was "), "vt", F.lit("?")))
     ).otherwise(F.concat("word", F.lit(" "), "vt", F.lit(" "), "dst", F.lit("?")))
+    if lang == "fi":
+        s_text = _line("$word", "$vt", F.when(F.col("surface") != "", F.col("surface")).otherwise(F.col("dst")))
     by_subject = _shape(subjects, "subject", s_text, F.col("src"), F.col("src_type"), _order(1), s_local=F.col("s_local"), passive=F.col("is_passive"), answer_list=F.when(F.col("shared"), F.col("members")))
     return asked.unionByName(by_subject).unionByName(aggregation)
 
@@ -150,17 +164,19 @@ def _claims(facts: DataFrame) -> DataFrame:
     return rows.where(passive_ok | active_ok)
 
 
-def _yesno(obj: Column) -> Column:
+def _yesno(obj: Column, lang: str = "en") -> Column:
     vt = F.when(F.col("verb") != "", F.col("verb")).otherwise(F.col("base"))
+    if lang == "fi":
+        return F.when(F.col("is_passive"), _line(with_clitic(vt), "$src")).otherwise(_line(with_clitic(vt), "$src", obj))
     passive = F.when(F.col("prep").isNotNull(), F.concat(F.lit("Was "), "src", F.lit(" "), vt, F.lit(" "), "prep", F.lit(" "), obj, F.lit("?"))).otherwise(F.concat(F.lit("Was "), "src", F.lit(" "), vt, F.lit("?")))
     return F.when(F.col("is_passive"), passive).otherwise(F.concat(F.lit("Did "), "src", F.lit(" "), "base", F.lit(" "), obj, F.lit("?")))
 
 
-def true_claims(facts: DataFrame) -> DataFrame:
-    return _shape(_claims(facts), "true_claim", _yesno(F.col("dst")), F.lit("Yes"), F.lit(None).cast("string"), _order(0), s_local=F.col("s_local"), passive=F.col("is_passive"))
+def true_claims(facts: DataFrame, lang: str = "en") -> DataFrame:
+    return _shape(_claims(facts), "true_claim", _yesno(F.col("dst"), lang), F.lit("Yes"), F.lit(None).cast("string"), _order(0), s_local=F.col("s_local"), passive=F.col("is_passive"))
 
 
-def false_claims(facts: DataFrame, triples: DataFrame, least_degree: int = 3) -> DataFrame:
+def false_claims(facts: DataFrame, triples: DataFrame, lang: str = "en", least_degree: int = 3) -> DataFrame:
     """The object replaced by another name of its type: one with several edges, of which no such fact is known and which the sentence
     does not mention; the one with most edges (ties: the earliest)."""
     claims = _claims(facts).where((F.col("source") != "") & F.col("dst_type").isin(*L.DISTRACTOR_TYPES))
@@ -172,7 +188,7 @@ def false_claims(facts: DataFrame, triples: DataFrame, least_degree: int = 3) ->
     pairs = pairs.where(~mentioned).join(known, ["doc_id", "src", "relation", "other"], "left_anti")
     best = F.row_number().over(Window.partitionBy("doc_id", "ord").orderBy(F.desc("degree"), "node_ord"))
     chosen = pairs.withColumn("best", best).where("best = 1")
-    return _shape(chosen, "false_claim", _yesno(F.col("other")), F.lit("No"), F.lit(None).cast("string"), _order(1), s_local=F.col("s_local"), passive=F.col("is_passive"))
+    return _shape(chosen, "false_claim", _yesno(F.col("other"), lang), F.lit("No"), F.lit(None).cast("string"), _order(1), s_local=F.col("s_local"), passive=F.col("is_passive"))
 
 
 def _bare(facts: DataFrame) -> DataFrame:
@@ -187,7 +203,7 @@ def _hinted(facts: DataFrame, types: tuple[str, ...]) -> DataFrame:
     return rows.select("doc_id", "source", "src", F.replace(base_of("relation"), F.lit("co-"), F.lit("")).alias("base"), prep_of("relation").alias("hint_prep"), F.col("dst").alias("hint"), F.col("dst_type").alias("hint_type"), F.col("edge_ord").alias("hint_ord"))
 
 
-def which_questions(facts: DataFrame) -> DataFrame:
+def which_questions(facts: DataFrame, lang: str = "en") -> DataFrame:
     """Two objects or more of one type, each told apart by when or where: the last time given in its sentence, else the first place."""
     objects = _bare(facts).where((F.col("source") != "") & F.col("dst_type").isin(*L.WHICH_TYPES))
     time = F.col("hint_type").isin(*L.TIMES)
@@ -197,18 +213,21 @@ def which_questions(facts: DataFrame) -> DataFrame:
     rows = objects.join(hints, ["doc_id", "source", "src", "base"])
     w = Window.partitionBy("doc_id", "src", "base")
     rows = rows.withColumns({"n": F.count("*").over(w), "lo": F.min("dst_type").over(w), "hi": F.max("dst_type").over(w)}).where("n >= 2 AND lo = hi")
-    text = F.concat(F.lit("Which "), _word(L.SINGULARS, F.col("dst_type")), F.lit(" did "), "src", F.lit(" "), "base", F.lit(" "), F.col("h.hint_prep"), F.lit(" "), F.col("h.hint"), F.lit("?"))
+    noun = _word(L.TABLES[lang][5], F.col("dst_type"))
+    text = _line("Which", noun, "did", "$src", "$base", "$h.hint_prep", "$h.hint") if lang == "en" else _line("Minkä", noun, "$src", "$base", "$h.hint")
     return _shape(rows, "which", text, F.col("dst"), F.col("dst_type"), _order(0), s_local=F.lit(0.1))
 
 
-def count_questions(facts: DataFrame) -> DataFrame:
+def count_questions(facts: DataFrame, lang: str = "en") -> DataFrame:
     rows = _bare(facts).groupBy("doc_id", "src", "relation", "base", "dst_type", "dst").agg(F.min("edge_ord").alias("edge_ord"), F.min_by("s_local", "edge_ord").alias("s_local"))
     rows = rows.groupBy("doc_id", "src", "relation", "base", "dst_type").agg(F.count("*").alias("n"), F.min("edge_ord").alias("edge_ord"), F.min_by("s_local", "edge_ord").alias("s_local")).where("n >= 2")
-    text = F.concat(F.lit("How many "), _word(L.PLURALS, F.col("dst_type")), F.lit(" did "), "src", F.lit(" "), "base", F.lit("?"))
+    noun = _word(L.TABLES[lang][4], F.col("dst_type"))
+    line = _line("How many", noun, "did", "$src", "$base") if lang == "en" else _line("Montako", noun, "$src", "$base")
+    text = F.when(noun.isNotNull(), line)
     return _shape(rows, "count", text, F.col("n").cast("string"), F.lit("CARDINAL"), _order(0), s_local=F.col("s_local"))
 
 
-def comparison_questions(facts: DataFrame) -> DataFrame:
+def comparison_questions(facts: DataFrame, lang: str = "en") -> DataFrame:
     """Pairs of one subject's objects with different years: which was earlier, which later; an unordered pair once in a document."""
     objects = _bare(facts).where((F.col("source") != "") & F.col("dst_type").isin(*L.COMPARED_TYPES))
     years = _hinted(facts, L.TIMES).withColumn("year", T.first_year("hint")).where("year IS NOT NULL").groupBy("doc_id", "source", "src", "base").agg(F.min_by("year", "hint_ord").alias("year"))
@@ -219,20 +238,24 @@ def comparison_questions(facts: DataFrame) -> DataFrame:
     first = F.row_number().over(Window.partitionBy("doc_id", F.least("a", "b"), F.greatest("a", "b")).orderBy("edge_ord", "edge_b"))
     pairs = pairs.withColumn("k", first).where("k = 1").withColumn("early", F.explode(F.array(F.lit(True), F.lit(False))))
     text = F.concat(F.lit("Which was "), "vt", F.lit(" "), F.when(F.col("early"), "earlier").otherwise("later"), F.lit(", "), "a", F.lit(" or "), "b", F.lit("?"))
+    if lang == "fi":
+        text = F.concat(F.lit("Kumpi tapahtui "), F.when(F.col("early"), "aikaisemmin").otherwise("myöhemmin"), F.lit(", "), _line("$a", "vai", "$b"))
     answer = F.when(F.col("early") == (F.col("ya") < F.col("yb")), F.col("a")).otherwise(F.col("b"))
     order = F.concat(_order(0), F.when(F.col("early"), "0").otherwise("1"))
     return _shape(pairs, "comparison", text, answer, F.col("type"), order, s_local=F.lit(0.25))
 
 
-def chain_questions(facts: DataFrame) -> DataFrame:
+def chain_questions(facts: DataFrame, lang: str = "en") -> DataFrame:
     """Two edges in a row over a person, asked through the role the first one gives the person."""
     one = facts.select("doc_id", F.col("src").alias("start"), F.col("dst").alias("src"), F.col("relation").alias("r1"), F.col("dst_type").alias("bridge_type"), F.col("edge_ord").alias("o1"))
-    one = one.withColumn("noun", _word(L.RELATION_NOUNS, base_of("r1"))).where(F.col("noun").isNotNull() & F.col("bridge_type").isin(*G.PERSON) & (F.col("start") != F.col("src")))
+    one = one.withColumn("noun", _word(L.TABLES[lang][3], base_of("r1"))).where(F.col("noun").isNotNull() & F.col("bridge_type").isin(*G.PERSON) & (F.col("start") != F.col("src")))
     rows = one.join(facts, ["doc_id", "src"]).where((F.col("dst") != F.col("src")) & (F.col("dst") != F.col("start")) & F.col("dst_type").isNotNull())
-    word = question_word(F.col("dst_type"))
+    word = question_word(F.col("dst_type"), lang)
     vt = F.when(F.col("verb") != "", F.col("verb")).otherwise(base_of("relation"))
     role = F.concat(F.lit("the "), "noun", F.lit(" of "), "src")
     text = F.when(F.col("is_passive"), F.concat(word, F.lit(" was "), role, F.lit(" "), vt, F.lit("?"))).otherwise(F.concat(word, F.lit(" did "), role, F.lit(" "), base_of("relation"), F.lit("?")))
+    if lang == "fi":
+        text = _line(word, F.concat("src", F.lit("n")), "$noun", vt)
     return _shape(rows, "chain", text, F.col("dst"), F.col("dst_type"), _order(0), s_local=F.lit(0.15), passive=F.col("is_passive"), hops=2, s_vocab=D.vocab_score(F.col("is_passive"), F.lit("chain")))
 
 
@@ -243,19 +266,23 @@ def _events(rows: DataFrame, *keys: str) -> DataFrame:
     return got.withColumns({"edge_ord": F.col("e")[0]["o"], "events": F.transform("e", lambda x: x["source"]), "n": F.size("e")})
 
 
-def subgraph_questions(facts: DataFrame) -> DataFrame:
+def subgraph_questions(facts: DataFrame, lang: str = "en") -> DataFrame:
     """What a name did or what happened at it, where one or two sentences tell; and the same for a subject and a time or place together."""
     told = facts.where((F.col("source") != "") & ~base_of("relation").isin(*L.SKIP_VERBS) & ~F.col("relation").endswith("_as"))
     ends = F.array(F.struct(F.col("src").alias("anchor"), F.col("src_type").alias("type"), F.col("src_type").isin(*L.SUBJECT_ANCHORS).alias("ok")), F.struct(F.col("dst").alias("anchor"), F.col("dst_type").alias("type"), F.col("dst_type").isin(*L.OBJECT_ANCHORS).alias("ok")))
     single = told.select("doc_id", "source", "edge_ord", F.explode(ends).alias("x")).where("x.ok").select("doc_id", "source", "edge_ord", "x.anchor", "x.type")
     events = _events(single, "anchor", "type")
     text = F.when(F.col("type").isin(*L.SUBJECT_ANCHORS), F.concat(F.lit("What did "), "anchor", F.lit(" do?"))).otherwise(F.concat(F.lit("What happened in "), "anchor", F.lit("?")))
+    if lang == "fi":
+        text = F.when(F.col("type").isin(*L.SUBJECT_ANCHORS), _line("Mitä", "$anchor", "teki")).otherwise(_line("Mitä", "tapahtui", "$anchor"))
     level = F.when(F.col("n") == 1, "A1").otherwise("A2")
     local = F.when(F.col("n") == 1, 0.0).otherwise(0.5)
     one = _shape(events, "subgraph", text, F.col("events")[0], F.col("type"), _order(0), s_local=local, answer_list=F.col("events"), fixed=level)
     pairs = told.where(F.col("src_type").isin(*L.SUBJECT_ANCHORS) & F.col("dst_type").isin(*L.OBJECT_ANCHORS))
     events = _events(pairs, "src", "dst", "dst_type")
     text = F.concat(F.lit("What did "), "src", F.lit(" do "), _word(L.OBJECT_PREPS, F.col("dst_type"), "in"), F.lit(" "), "dst", F.lit("?"))
+    if lang == "fi":
+        text = _line("Mitä", "$src", "teki", "$dst")
     two = _shape(events, "pair_subgraph", text, F.col("events")[0], F.col("dst_type"), _order(0), s_local=local, answer_list=F.col("events"), fixed=level, s_type=D.TYPE_SCORES["subgraph"])
     return one.unionByName(two)
 
@@ -292,10 +319,16 @@ def bridge_questions(facts: DataFrame, triples: DataFrame) -> DataFrame:
     return _shape(rows.withColumn("edge_ord", F.col("in_ord")), "bridge", text, F.col("src"), F.col("bridge_type"), _order(0), s_local=F.lit(0.5), hops=2, fixed=F.lit("C1"))
 
 
-def all_questions(triples: DataFrame) -> DataFrame:
-    """Every kind of question of every document. The facts are written once, as every kind reads them."""
+def all_questions(triples: DataFrame, lang: str = "en") -> DataFrame:
+    """Every kind of question of every document, in English (en) or Finnish (fi; without chains of events and bridges). The facts are
+    written once, as every kind reads them. Another language has no templates and gives no questions."""
+    if lang not in L.TABLES:
+        return all_questions(triples.limit(0))
     facts = materialise(fact_table(triples), "facts")
-    kinds = [wh_questions(facts), true_claims(facts), false_claims(facts, triples), which_questions(facts), count_questions(facts), comparison_questions(facts), chain_questions(facts), subgraph_questions(facts), chain_subgraph_questions(facts), bridge_questions(facts, triples)]
+    kinds = [f(facts, lang) for f in (wh_questions, true_claims, which_questions, count_questions, comparison_questions, chain_questions, subgraph_questions)]
+    kinds.append(false_claims(facts, triples, lang))
+    if lang == "en":
+        kinds += [chain_subgraph_questions(facts), bridge_questions(facts, triples)]
     return reduce(DataFrame.unionByName, kinds)
 
 

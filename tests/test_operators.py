@@ -133,7 +133,10 @@ def test_questions(spark):
     assert ("Did Ada Berg found Nolia?", "Yes") in texts(Q.true_claims(facts))
     got = Q.assemble(Q.all_questions(t), spark.createDataFrame([(1, "A text.")], "doc_id BIGINT, text STRING"), limit=3).collect()
     assert [r["rank"] for r in got] == [1, 2, 3]
-    assert Q.all_questions(t.limit(0)).count() == 0
+    assert Q.all_questions(t.limit(0)).count() == 0 and Q.all_questions(t, "sv").count() == 0
+    finnish = {r["text"] for r in Q.all_questions(t, "fi").collect()}
+    assert {"Mitä organisaatioita Ada Berg found?", "Montako organisaatioita Ada Berg found?", "Foundedko Ada Berg Nolia?", "Kumpi tapahtui aikaisemmin, Nolia vai Telma?", "Mitä Ada Berg teki?", "Minkä organisaatio Ada Berg found 1901?"} <= finnish
+    assert one(spark, Q.with_clitic(F.col("v")), v="löysi") == "Löysikö" and one(spark, Q.with_clitic(F.col("v")), v="osti") == "Ostiko"
 
 
 def test_metrics(spark):
