@@ -42,9 +42,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/readq-{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/readq-{uuid.uuid4().hex}/{tag}"
+    return f"{_own_dir(spark)}/{uuid.uuid4().hex}/{tag}"
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application, once no result that was read from them is wanted any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> DataFrame:
