@@ -16,7 +16,8 @@ out. A repeated id counts once, with every text it came with. An empty table giv
 
 Which runs of words make a pattern: all pairs of words in passages up to 24 words, else runs of three to five, up to RUNS of them,
 drawn by a hash from those that few passages share (from the rarest on, if there are not enough). A passage in which one
-word in five was changed at random keeps 33 % of its runs of five; the chance that fewer than two of 32 are left is 1 in 20,000.
+word in five was changed at random keeps 33 % of its runs of five, and about three of 32 must be met to cover enough: the chance
+of fewer is 1 in 2,500; with one word in ten changed it is below 1 in 100 million.
 """
 
 from __future__ import annotations
