@@ -1,11 +1,12 @@
 """Same or near-same records across splits (problem 3).
 
-The distinct normalised passages of the evaluation splits are cut into shards of bounded size, by length. Each shard gets an
-Aho-Corasick automaton over runs of words taken from all over its passages; a word is one symbol of the automaton, so it
-reads a text word by word. The automata are written once into the shared folder. Every task reads its part of the training
-texts once and lets the automata of the fitting lengths scan them; the runs found in a training text are merged, for each
-evaluation passage, into the coverage of that passage. Passages covered well enough are compared exactly: the longest common
-subsequence of words must hold at least four fifths of the longer text.
+The distinct normalised passages of the evaluation splits are cut into shards of bounded size, by length, and written once into
+the shared folder. Every task reads its part of the training texts once and takes the shards of the fitting lengths one by one.
+Which pairs are compared is decided by an exact prefix filter: a word and the number of its occurrence in the text are a token,
+so texts are sets. Near texts of n words lose no more than n - ceil(0.8 n) tokens each; so of the first n - ceil(0.8 n) + k tokens of
+each, in one order for both, they share at least k. The order is from the rarest tokens of the shard on, and k grows with n. No pair
+is left out, whatever was changed and however many copies of a passage there are. Pairs that remain are compared exactly: the
+longest common subsequence of words must hold at least four fifths of the longer text.
 
 The questions of passages that belong together are compared in the same way, after an exact prefix filter: two texts that keep
 four fifths of their words share one of the first fifth (and one more) of their words in any fixed order. So neither records
@@ -13,11 +14,6 @@ nor questions are compared all with all, even inside one passage.
 
 Defined results: rows with null ids, rows of other splits, and rows whose passage or question is null or holds no word are left
 out. A repeated id counts once, with every text it came with. An empty table gives an empty result. Very long texts are scanned whole.
-
-Which runs of words make a pattern: all pairs of words in passages up to 24 words, else runs of three to five, up to RUNS of them,
-drawn by a hash from those that few passages share (from the rarest on, if there are not enough). A passage in which one
-word in five was changed at random keeps 33 % of its runs of five, and about three of 32 must be met to cover enough: the chance
-of fewer is 1 in 2,500; with one word in ten changed it is below 1 in 100 million.
 """
 
 from __future__ import annotations
@@ -26,11 +22,8 @@ import hashlib
 import math
 import pickle
 import zlib
-from collections import Counter
 from collections.abc import Iterator, Sequence
-from heapq import nsmallest
 
-import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -44,11 +37,13 @@ from readq.functions.text import code_name
 from readq.session import fresh_path, materialise
 
 KEPT = 0.8
-#: Patterns of a passage.
-RUNS = 32
-#: Runs that so few passages of a shard share are drawn from alike; more widespread ones come after them, the rarer the sooner.
-RARE = 4
-#: Words of all passages of a shard, about; it bounds the memory an automaton takes.
+#: Of n words, two near texts are asked to have 1 + n // MET rare ones in common before they are compared; any number is exact.
+MET = 6
+#: So many meetings of a text's token and a passage that holds it are worked on at once.
+MEETINGS = 500_000
+#: So many training texts are ordered at once.
+TOGETHER = 500
+#: Words of all passages of a shard, about; it bounds the memory a shard takes.
 SHARD_WORDS = 1_000_000
 #: Words rarer than one in so many are not counted for the order of the prefix filter.
 FREQUENT = 20_000
@@ -56,10 +51,8 @@ FREQUENT = 20_000
 REMEMBERED = 100_000
 #: Lengths within a band differ by this factor.
 BAND = 1.3
-#: Share of the words in a passage's patterns that must be found in a text before the two are compared.
-COVERED = 0.1
-#: A task holds so many characters of training texts while the automata pass.
-HELD_CHARS = 48_000_000
+#: A task holds so many characters of training texts while the shards pass.
+HELD_CHARS = 16_000_000
 
 
 def common_words(a: Sequence, b: Sequence) -> int:
@@ -101,67 +94,94 @@ class Symbols(dict):
         return "".join([self[w] for w in text.split(" ")])
 
 
-def run_length(n: int) -> int:
-    return 1 if n < 2 else 2 if n < 24 else 3 if n < 40 else 4 if n < 90 else 5
+def fewest(n: np.ndarray) -> np.ndarray:
+    """Words that a text of n words must share at least with any text near it."""
+    return np.ceil(KEPT * n - 1e-9).astype(np.int64)
+
+
+def tokens(coded: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sizes, owner, token) of texts of symbols: token is a word with the number of its occurrence in the text, so that texts are sets of them."""
+    sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+    codes = np.frombuffer("".join(coded).encode("utf-32-le"), np.uint32).astype(np.int64)
+    key = np.sort(np.repeat(np.arange(len(coded)), sizes) << 21 | codes)
+    at = np.arange(len(key))
+    fresh = np.r_[True, key[1:] != key[:-1]][: len(key)]
+    return sizes, key >> 21, key & (1 << 21) - 1 | at - np.maximum.accumulate(np.where(fresh, at, 0)) << 21
 
 
-def run_places(n: int) -> range:
-    """Where the runs of a passage of n words may begin: of a long one, about twice as many places as will be chosen, at even distances."""
-    return range(0, n - run_length(n) + 1, max(1, n // (2 * RUNS)))
+def prefixes(sizes: np.ndarray, owner: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(met, owner, rank): of each text the tokens of lowest rank, so many that two near texts have `met` (the lesser of theirs) in common."""
+    need = fewest(sizes)
+    met = np.minimum(need, 1 + sizes // MET)
+    key = np.sort(owner << 32 | rank + 1)
+    at = np.arange(len(key)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    key = key[at < np.repeat(sizes - need + met, sizes)]
+    return met, key >> 32, (key & (1 << 32) - 1) - 1
 
 
 class Shard:
-    """An automaton over runs of words of some passages."""
+    """The prefixes of some passages, by token."""
 
     def __init__(self, keys: list[bytes], texts: list[str]):
         self.keys, self.texts = keys, texts
         symbols = Symbols()
         self.coded = [symbols.code(t) for t in texts]
-        places: dict[str, list[tuple[int, int]]] = {}
-        spread = Counter(x for t in self.coded for x in {t[i : i + run_length(len(t))] for i in run_places(len(t))})
-        self.least = []
-        for c, t in enumerate(self.coded):
-            n = run_length(len(t))
-            chosen = run_places(len(t))
-            if len(chosen) > RUNS and len(t) >= 24:
-                drawn = [(max(RARE, spread[t[i : i + n]]), (ord(t[i]) * 40503 + ord(t[i + 1]) * 30011 + ord(t[i + n - 1])) % 65521, i) for i in chosen]
-                chosen = [i for _, _, i in nsmallest(RUNS, drawn)]
-            mask = 0
-            for i in chosen:
-                places.setdefault(t[i : i + n], []).append((c, i))
-                mask |= ((1 << n) - 1) << i
-            self.least.append(COVERED * mask.bit_count())
-        del spread
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
-        for pattern, found in places.items():
-            self.automaton.add_word(pattern, (len(pattern), tuple(found)))
-        if places:
-            self.automaton.make_automaton()
-
-    def scan(self, text: str, coded: str) -> list[bytes]:
-        """The keys of the passages that the text is the same as, or nearly. coded: the text as symbols."""
-        covered: dict[int, int] = {}
-        get = covered.get
-        for _, (n, at) in self.automaton.iter(coded):
-            block = (1 << n) - 1
-            for c, i in at:
-                covered[c] = get(c, 0) | (block << i)
-        found = []
-        n, own = len(coded), None
-        for c, mask in covered.items():
-            if mask.bit_count() < self.least[c]:
-                continue
-            other = self.coded[c]
-            longer = max(len(other), n)
-            if min(len(other), n) < KEPT * longer:
-                continue
-            # Words of the passage that the text lacks are lost for certain.
-            own = own or set(coded)
-            if len(set(other) - own) > len(other) - KEPT * longer:
-                continue
-            if self.texts[c] == text or common_words(other, coded) >= KEPT * longer and near(self.texts[c].split(" "), text.split(" ")):
-                found.append(self.keys[c])
-        return found
+        self.sizes, owner, token = tokens(self.coded)
+        self.known, where, count = np.unique(token, return_inverse=True, return_counts=True)
+        self.rank = np.empty(len(count), np.int64)
+        self.rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+        self.met, owner, rank = prefixes(self.sizes, owner, self.rank[where])
+        order = np.argsort(rank, kind="stable")
+        self.holders = owner[order].astype(np.int32)
+        self.start = np.searchsorted(rank[order], np.arange(len(count) + 1))
+
+    def ranks(self, token: np.ndarray) -> np.ndarray:
+        """The places of tokens in the order, -1 for those no passage holds."""
+        at = np.minimum(np.searchsorted(self.known, token), len(self.known) - 1)
+        return np.where(self.known[at] == token, self.rank[at], -1)
+
+    def candidates(self, sizes: np.ndarray, owner: np.ndarray, rank: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(text, passage): every pair that may be near."""
+        met, owner, rank = prefixes(sizes, owner, rank)
+        owner, rank = owner[rank >= 0], rank[rank >= 0]
+        many = self.start[rank + 1] - self.start[rank]
+        ends = np.cumsum(many)
+        i, width = 0, len(self.keys)
+        while i < len(owner):
+            j = np.searchsorted(ends, ends[i] - many[i] + MEETINGS, "right")
+            # All tokens of a text stay together; a text alone meets no more than the shard holds.
+            j = np.searchsorted(owner, owner[j]) if j < len(owner) else j
+            j = j if j > i else np.searchsorted(owner, owner[i], "right")
+            n, first, last = many[i:j], owner[i], owner[j - 1]
+            place = np.repeat(self.start[rank[i:j]] - (np.cumsum(n) - n), n)
+            place += np.arange(len(place))
+            pair = np.repeat((owner[i:j] - first) * width, n)
+            pair += self.holders[place]
+            cells = (last - first + 1) * width
+            if cells <= 4 * len(pair):
+                common = np.bincount(pair, minlength=cells).reshape(-1, width)
+                text, passage = np.nonzero(common >= np.minimum.outer(met[first : last + 1], self.met))
+                text += first
+            else:
+                pair.sort()
+                at = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]][: len(pair)])
+                text, passage = np.divmod(pair[at], width)
+                text += first
+                enough = np.diff(np.r_[at, len(pair)]) >= np.minimum(met[text], self.met[passage])
+                text, passage = text[enough], passage[enough]
+            a, b = sizes[text], self.sizes[passage]
+            fit = np.minimum(a, b) >= KEPT * np.maximum(a, b)
+            yield from zip(text[fit].tolist(), passage[fit].tolist())
+            i = j
+
+    def same(self, c: int, text: str, coded: str, own: set[str]) -> bool:
+        """Whether the text is the same as passage c, or nearly. coded, own: the text as symbols, and these as a set."""
+        other = self.coded[c]
+        longer = max(len(other), len(coded))
+        # Words of the passage that the text lacks are lost for certain.
+        if len(set(other) - own) > len(other) - KEPT * longer:
+            return False
+        return self.texts[c] == text or common_words(other, coded) >= KEPT * longer and near(self.texts[c].split(" "), text.split(" "))
 
 
 #: One for one from ASCII: letters in lower case, digits, nothing for apostrophes, blanks for all else.
@@ -244,32 +264,48 @@ def passage_links(records: DataFrame) -> DataFrame:
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         shard = Shard([bytes(k) for k in rows["k"]], rows["passage"].tolist())
-        return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])], "automaton": [pickle.dumps(shard, protocol=5)]})
+        return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])], "content": [pickle.dumps(shard, protocol=5)]})
 
-    path = fresh_path(spark, "automata")
-    evals.select("k", "passage", part.cast("int").alias("shard")).groupBy("shard").applyInPandas(build, "shard INT, automaton BINARY").write.partitionBy("shard").parquet(path)
+    path = fresh_path(spark, "shards")
+    evals.select("k", "passage", part.cast("int").alias("shard")).groupBy("shard").applyInPandas(build, "shard INT, content BINARY").write.partitionBy("shard").parquet(path)
 
     def load(number: int) -> Shard | None:
         fs, root = pafs.FileSystem.from_uri(path)
         for f in fs.get_file_info(pafs.FileSelector(f"{root}/shard={number}", allow_not_found=True)):
             if f.path.endswith(".parquet"):
-                for value in pq.read_table(f.path, filesystem=fs, columns=["automaton"], partitioning=None).column(0):
+                for value in pq.read_table(f.path, filesystem=fs, columns=["content"], partitioning=None).column(0):
                     return pickle.loads(value.as_buffer())
         return None
 
     def scan_held(held: dict[bytes, str]) -> pa.RecordBatch:
         left, right = [], []
         symbols = Symbols()
-        texts = [(k, t, c, len(c)) for k, t in held.items() for c in (symbols.code(t),)]
+        keys, texts = list(held), list(held.values())
+        coded = [symbols.code(t) for t in texts]
+        sizes, owner, token = tokens(coded)
+        starts = np.r_[0, np.cumsum(sizes)]
+        # A token met in several texts is looked up once in a shard.
+        every, token = np.unique(token, return_inverse=True)
+        owner, token = owner.astype(np.int32), token.astype(np.int32)
         for number, least, most in shards:
-            fit = [x for x in texts if KEPT * least <= x[3] <= most / KEPT]
-            shard = load(number) if fit else None
+            fit = (sizes >= KEPT * least) & (sizes <= most / KEPT)
+            shard = load(number) if fit.any() else None
             if shard is None:
                 continue
-            for k, t, c, _ in fit:
-                for other in shard.scan(t, c):
-                    left.append(k)
-                    right.append(other)
+            rank = shard.ranks(every)
+            for i in range(0, len(texts), TOGETHER):
+                chosen = np.flatnonzero(fit[i : i + TOGETHER])
+                part = slice(starts[i], starts[min(i + TOGETHER, len(texts))])
+                here = fit[owner[part]]
+                places = np.repeat(np.arange(len(chosen)), sizes[i + chosen])
+                last, own = -1, set()
+                for x, c in shard.candidates(sizes[i + chosen], places, rank[token[part][here]]):
+                    t = i + chosen[x]
+                    if t != last:
+                        last, own = t, set(coded[t])
+                    if shard.same(c, texts[t], coded[t], own):
+                        left.append(keys[t])
+                        right.append(shard.keys[c])
         return pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["tk", "ek"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +323,7 @@ def passage_links(records: DataFrame) -> DataFrame:
             yield scan_held(held)
 
     train = records.where("role = 'T' AND passage IS NOT NULL").select("k", "passage")
-    # A task loads the automata once for all texts it holds: as few tasks as there are cores, or as the memory asks for.
+    # A task loads the shards once for all texts it holds: as few tasks as there are cores, or as the memory asks for.
     chars = train.agg(F.sum(F.length("passage"))).first()[0] or 0
     train = train.coalesce(max(spark.sparkContext.defaultParallelism, -(-chars // HELD_CHARS)))
     return materialise(train.mapInArrow(scan, "tk BINARY, ek BINARY").distinct(), "links")

@@ -140,6 +140,20 @@ def test_hot_passage_keeps_all_pairs(spark):
     assert pairs.count() == want
 
 
+def test_overlap_of_a_hot_family_and_of_placed_edits(spark):
+    rng = random.Random(6)
+    base = [rng.choice(VOCAB) for _ in range(150)]
+    changed = lambda share: [f"x{rng.randrange(10**6)}" if rng.random() < share else w for w in base]
+    texts = [changed(0.1) for _ in range(25)] + [changed(0.17) for _ in range(25)]
+    # No run of five words is left.
+    texts += [["y" if i % 5 == k else w for i, w in enumerate(base)] for k in range(5)]
+    train = [base, changed(0.05)]
+    rows = [(i, " ".join(t), "what is it", "", "", "s", "train" if i < 2 else "val", None) for i, t in enumerate(train + texts)]
+    got = {(r["train_id"], r["eval_id"]) for r in CO.overlapping_records(spark.createDataFrame(rows, QDE)).collect()}
+    want = {(a, b) for a, x in enumerate(train) for b, y in enumerate(texts, 2) if CO.near(x, y)}
+    assert len(want) > 60 and got == want
+
+
 def test_long_text_is_scanned_whole(spark):
     rng = random.Random(1)
     words = [rng.choice(VOCAB) for _ in range(30_000)]
