@@ -153,7 +153,7 @@ def feature_probe(s: SparkSession, d: str) -> DataFrame:
     rows = records(s, d, "passage", "question", "answer").join(table(s, d, "qde").select("rec_id", "split", T.label_ordinal("difficulty").alias("label")).dropDuplicates(["rec_id"]), "rec_id").where("label IS NOT NULL")
     feats = Fe.feature_table(rows, Fe.word_table(table(s, d, "word_freq"))).join(rows.select("rec_id", "split", F.col("label").cast("double").alias("label")), "rec_id")
     feats = materialise(feats, "features")
-    model = ml.boosted_trees(feats.where("split = 'train'"), trees=5, depth=3)
+    model = ml.boosted_trees(feats.where("split = 'train'"))
     out = model.transform(feats.where("split = 'test'")).select(F.col("label").cast("bigint").alias("truth"), F.col("prediction").cast("bigint").alias("pred"))
     return _r(X.class_report(out))
 

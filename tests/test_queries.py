@@ -1,9 +1,11 @@
 """Every query of the registry against its SQL on the smallest tables; those without SQL run and give rows."""
 
+import inspect
 import os
 
 import pytest
 
+from readq.operators import ml
 from readq.plans import registry
 from tests.compare import differences
 
@@ -29,3 +31,18 @@ def test_entry(spark):
 
     assert registry.flagship(spark, SMALL).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@needs_data
+def test_feature_probe_fits_all_trees(spark, monkeypatch):
+    fit, asked = ml.boosted_trees, []
+
+    def short(*args, **kwargs):
+        b = inspect.signature(fit).bind(*args, **kwargs)
+        b.apply_defaults()
+        asked.append(tuple(b.arguments[k] for k in ("trees", "depth", "rate", "seed")))
+        return fit(b.arguments["df"], trees=1, depth=1)
+
+    monkeypatch.setattr(ml, "boosted_trees", short)
+    assert registry.queries()["feature_probe"](spark, SMALL).count() == 6
+    assert asked == [(300, 5, 0.1, 42)]
