@@ -46,3 +46,19 @@ def test_feature_probe_fits_all_trees(spark, monkeypatch):
     monkeypatch.setattr(ml, "boosted_trees", short)
     assert registry.queries()["feature_probe"](spark, SMALL).count() == 6
     assert asked == [(300, 5, 0.1, 42)]
+
+
+@needs_data
+def test_vector_probe_reports_on_rows_held_out(spark, monkeypatch):
+    fit, seen = ml.linear_probe, []
+
+    def noted(*args, **kwargs):
+        b = inspect.signature(fit).bind(*args, **kwargs)
+        b.apply_defaults()
+        seen.append((b.arguments["df"].count(), b.arguments["rounds"]))
+        return fit(*args, **kwargs)
+
+    monkeypatch.setattr(ml, "linear_probe", noted)
+    support = {r["class"]: r["support"] for r in registry.queries()["vector_probe"](spark, SMALL).collect()}["macro"]
+    (fitted, rounds), rows = seen[0], spark.read.parquet(f"{SMALL}/embeddings.parquet").where("label IS NOT NULL").count()
+    assert rounds == 300 and 0 < support < fitted and support + fitted == rows
