@@ -103,16 +103,9 @@ def is_empty(answer: str | None) -> bool:
 class Setting:
     """What the features need besides the pair: the language filters, and how often words end a sentence or a clause."""
 
-    def __init__(self, filters: LanguageFilter, passages: list[str]):
+    def __init__(self, filters: LanguageFilter, totals: list[tuple[str, int, int]]):
         self.filters = filters
-        final, every = Counter(), Counter()
-        for p in passages:
-            for s in _CLAUSE.split(clean(p)):
-                w = words(s)
-                every.update(w)
-                if w:
-                    final[w[-1]] += 1
-        self.ends = {w: float(np.log((final[w] + 0.2) / (n - final[w] + 0.6))) for w, n in every.items() if n > 1}
+        self.ends = {w: float(np.log((final + 0.2) / (n - final + 0.6))) for w, n, final in totals}
         self.stems = [tuple(x) for x in (APOLOGY, TASK)]
         self.exact = [frozenset(x) for x in (UNABLE, SELF, SPEECH)]
 
@@ -371,14 +364,33 @@ def examples(setting: Setting, rows: list[tuple[str, str]], seed: int) -> list[t
     return out
 
 
+def word_totals(passages: DataFrame) -> DataFrame:
+    """(word, n, final): how often each word met twice or more occurs in the different passages, and how often it ends a clause."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            final, every = Counter(), Counter()
+            for p in b["passage"]:
+                for s in _CLAUSE.split(clean(p)):
+                    w = words(s)
+                    every.update(w)
+                    if w:
+                        final[w[-1]] += 1
+            yield pd.DataFrame({"word": list(every), "n": list(every.values()), "final": [final[w] for w in every]})
+
+    texts = passages.where("passage IS NOT NULL").select("passage").distinct()
+    each = texts.mapInPandas(count, "word STRING, n BIGINT, final BIGINT")
+    return each.groupBy("word").agg(F.sum("n").alias("n"), F.sum("final").alias("final")).where("n > 1")
+
+
 def train(df: DataFrame, per_language: int = 300) -> DefectModel:
-    """Fit the language filters and the field on bounded samples of the table."""
+    """Fit the language filters and the field on bounded samples of the table; how words end clauses is counted on all passages."""
     filters = fit_filter(df, "passage", "lang", per_language)
     usable = df.where("question IS NOT NULL AND passage IS NOT NULL").where(F.length("passage") < 20_000).select("question", "passage")
     n = usable.count()
     drawn = F.pmod(F.xxhash64("question", "passage"), F.lit(1 << 30)) / float(1 << 30)
     rows = [tuple(r) for r in usable.where(drawn < min(1.0, 1.3 * SAMPLE / max(n, 1))).distinct().limit(SAMPLE).collect()]
-    return DefectModel(Setting(filters, [p for _, p in rows]), rows)
+    return DefectModel(Setting(filters, [tuple(r) for r in word_totals(df).collect()]), rows)
 
 
 def response_defects(df: DataFrame, model: DefectModel, id_col: str = "qg_id") -> DataFrame:

@@ -269,6 +269,12 @@ def test_defects_of_a_table(spark, defects):
     assert RD.train(df.limit(0)).defect("Why?", None, None) == "empty"
 
 
+def test_ends_of_clauses_are_counted_on_all_passages(spark):
+    rows = [(f"What is {i}?", f"The bird number{i} sang, and it flew home to word{i % 2000}.") for i in range(4000)]
+    model = RD.train(spark.createDataFrame([(i, q, None, p, "en") for i, (q, p) in enumerate(rows)], "qg_id BIGINT, question STRING, answer STRING, passage STRING, lang STRING"))
+    assert all(f"word{k}" in model.setting.ends for k in range(2000))
+
+
 # ---- 7: reading level ----
 
 
