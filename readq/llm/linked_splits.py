@@ -112,7 +112,8 @@ def linked_groups(df: DataFrame, id_col: str = "rec_id", passage_col: str = "pas
     authors = pairs.where("a IS NOT NULL").groupBy("a").agg((F.min("m") * 2 + 1).alias("av"))
     named = materialise(pairs.join(passages, "p", "left").join(authors, "a", "left"), "named")
     # One record id may have come with different keys; a chain through it is a link as well.
-    several = keys.groupBy("rec").agg(F.min("p").alias("p1"), F.max("p").alias("p2"), F.min("a").alias("a1"), F.max("a").alias("a2")).where("p1 <> p2 OR a1 <> a2").select("rec")
+    pair = F.struct("p", "a")  # its order puts nulls first and leaves none out
+    several = keys.groupBy("rec").agg(F.min(pair).alias("x"), F.max(pair).alias("y")).where(~F.col("x").eqNullSafe(F.col("y"))).select("rec")
     extra = keys.join(several, "rec", "left_semi").join(passages, "p", "left").join(authors, "a", "left")
     first = extra.groupBy("rec").agg(F.min(F.coalesce("pv", "av")).alias("first"))
     extra = extra.join(first, "rec").select(F.col("first").alias("u"), F.explode(F.array("pv", "av")).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")

@@ -209,6 +209,12 @@ def components(pairs):
     return find
 
 
+def test_rows_of_one_id_with_nulls_link(spark):
+    rows = [(1, "alpha", None), (2, "alpha", None), (2, None, "Ann Lee"), (3, None, "Lee, Ann"), (4, "beta", None), (4, None, None)]
+    groups = LS.linked_groups(spark.createDataFrame(rows, "rec_id BIGINT, passage STRING, author STRING"))
+    assert {r["rec_id"]: r["group_id"] for r in groups.collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
 def test_contraction_equals_union_find(spark):
     rng = random.Random(2)
     pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(1000 + i, 1001 + i) for i in range(200)] + [(5000, 5000 + i) for i in range(1, 300)] + [(7, 7)]
