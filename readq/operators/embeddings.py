@@ -39,11 +39,14 @@ def triplets(df: DataFrame, id_col: str = "id", label: str = "label", mode: str
 
     Rows of a label are numbered in a seeded order; the positive is the next one in the order (the first after the last), the
     negative the one with the anchor's number, modulo the size, in the label chosen. mode ordinal: positives come from the
-    neighbouring label MEDIUM and negatives from the far one, for EASY and HARD. A label with one row has itself as positive.
+    neighbouring label MEDIUM and negatives from the far one, for EASY and HARD. mode mixed: a hash of the anchor chooses one of
+    the two modes, each for half. A label with one row has itself as positive.
     The sizes of the labels are few rows; the numbering is spread over slices of the hash.
     """
     from readq.operators.ordered import prefix_sum
 
+    if mode not in ("same_class", "ordinal", "mixed"):
+        raise ValueError(f"unknown mode {mode}")
     drawn = df.where(F.col(label).isNotNull()).select(F.col(id_col).alias("id"), F.col(label).alias("label"), F.xxhash64(F.lit(seed), id_col).alias("h"))
     counts = drawn.groupBy("label").agg(F.count("*").alias("size")).where("size > 0")
     placed = prefix_sum(drawn, [F.col("label"), F.col("h"), F.col("id")], F.lit(1).cast("bigint"), "at")
@@ -59,8 +62,10 @@ def triplets(df: DataFrame, id_col: str = "id", label: str = "label", mode: str
     pick = lambda xs, salt: F.get(xs, F.pmod(F.xxhash64(F.lit(salt), "id"), F.size(xs)).cast("int"))
     named = lambda name: F.element_at(F.filter("labels", lambda x: x["label"] == name), 1)
     own = F.element_at(F.filter("labels", lambda x: x["label"] == F.col("label")), 1)
-    if mode == "ordinal":
+    if mode != "same_class":
         end = F.col("label").isin("EASY", "HARD") & named("MEDIUM").isNotNull()
+        if mode == "mixed":
+            end &= F.pmod(F.xxhash64(F.lit(seed), F.lit("mode"), "id"), F.lit(2)) == 0
         positive = F.when(end, named("MEDIUM")).otherwise(own)
         negative = F.when(end & (F.col("label") == "EASY"), named("HARD")).when(end, named("EASY")).otherwise(pick(others, 1))
     else:

@@ -155,6 +155,16 @@ def test_embeddings(spark):
     assert V.triplet_losses(V.triplets(df), df).count() == 4
 
 
+def test_mixed_triplets(spark):
+    df = spark.range(300).select("id", F.element_at(F.array(F.lit("EASY"), F.lit("MEDIUM"), F.lit("HARD")), (F.col("id") % 3 + 1).cast("int")).alias("label"))
+    same, ordinal, mixed = ({r["anchor"]: (r["positive"], r["negative"]) for r in V.triplets(df, mode=m).collect()} for m in ("same_class", "ordinal", "mixed"))
+    assert len(mixed) == 300 and all(mixed[k] in (same[k], ordinal[k]) for k in mixed)
+    ends = [k for k in mixed if k % 3 != 1]
+    assert 60 < sum(mixed[k] == ordinal[k] for k in ends) < 140 and 60 < sum(mixed[k] == same[k] for k in ends) < 140
+    with pytest.raises(ValueError):
+        V.triplets(df, mode="other")
+
+
 def test_annotation(spark):
     df = spark.createDataFrame([(1, "p", {"a": 1.0}), (2, "p", None), (3, "r", {"a": 2.0, "b": 1.0})], "id INT, passage STRING, llm_diff_judge MAP<STRING, DOUBLE>")
     assert sorted(r["id"] for r in A.todo_groups(df, "a").collect()) == [1, 2]
