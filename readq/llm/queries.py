@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from readq.session import materialise, table
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: So many kinds of container may be wanted.
+MAX_KINDS = 1000
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -149,7 +151,9 @@ def p9_bins(spark: SparkSession, d: str) -> DataFrame:
     from readq.llm.bpe_encoding import count_tokens, vocabulary
     from readq.llm.container_packing import pack
 
-    kinds = table(spark, d, "bin_sizes").where("bin_kind IS NOT NULL AND tokenizer IS NOT NULL AND capacity > 0").orderBy("bin_kind").limit(1000).collect()
+    kinds = table(spark, d, "bin_sizes").where("bin_kind IS NOT NULL AND tokenizer IS NOT NULL AND capacity > 0").orderBy("bin_kind").limit(MAX_KINDS + 1).collect()
+    if len(kinds) > MAX_KINDS:
+        raise ValueError(f"more than {MAX_KINDS} kinds of container")
     documents = table(spark, d, "documents")
     sizes = {name: materialise(count_tokens(documents, path=vocabulary(name)), "sizes") for name in {k["tokenizer"] for k in kinds}}
     parts = [pack(sizes[k["tokenizer"]], k["capacity"]).select(F.lit(k["bin_kind"]).alias("bin_kind"), "doc_id", "piece", "size", "container") for k in kinds]

@@ -382,6 +382,15 @@ def test_packing_of_a_table(spark):
         CP.PackingPlan(np.zeros(1), 0)
 
 
+def test_too_many_kinds_of_container(spark, tmp_path):
+    from readq.llm.queries import p9_bins
+
+    rows = spark.range(1001).select(F.format_string("k%04d", "id").alias("bin_kind"), F.lit("byte_bpe_50k").alias("tokenizer"), F.lit(9).alias("capacity"))
+    rows.write.parquet(f"{tmp_path}/bin_sizes.parquet")
+    with pytest.raises(ValueError):
+        p9_bins(spark, str(tmp_path))
+
+
 # ---- 10: languages ----
 
 
