@@ -5,8 +5,15 @@ a vote. The reliability of each judge comes from the triplet moment method: for
 name it, less the rate expected by chance, is the product of what each of them knows about the class; so of three judges,
 the product of two such rates over the third is the square of one judge's own factor. The factors of all triplets are
 averaged, their signs come from the leading eigenvector (most judges being better than chance), and each judge's votes get
-their probability under each class from the same moments. Votes are combined by adding the log-odds of these
-probabilities, so a judge who turns the scale around counts turned around, and one who knows nothing counts nothing.
+their probability under each class from the same moments.
+
+Pairs tell a class only from the two others together. Which neighbour a judge errs towards comes from moments of three views:
+the judges are dealt into three parts, each part's votes give a record a view (the log-odds sum of the triplets, as shares),
+and the sums of view x view x vote are solved for the whole confusion matrix of each judge (`view_moments`). These are
+moments like the pair rates, solved once, in closed form; no consensus is fed back. Votes are combined by adding the log-odds
+of these probabilities, so a judge who turns the scale around counts turned around, and one who knows nothing counts nothing.
+
+A judge's range is the least of RANGES that holds all scores but STRAY of them, so single stray scores do not stretch it.
 
 Only sums over pairs of judges leave the executors: their number is bounded by the number of judges, not by the records.
 
@@ -17,6 +24,7 @@ the higher). Judges who share too few records with others carry no weight. Empty
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +42,12 @@ RANGES = (1.0, 5.0, 10.0, 100.0, 1000.0)
 MAX_JUDGES = 400
 #: Pairs of judges with fewer records in common say nothing.
 MIN_OVERLAP = 20
+#: This share of a judge's scores, and one score in any case from 20 on, may lie above the range.
+STRAY = 0.005
+#: The judges are dealt into three parts so many times, by a hash of name and deal.
+DEALS = 6
+#: Votes of a judge at which the moments of three views weigh as much as those of pairs.
+FEW_VOTES = 200
 
 
 def latest_scores(df: DataFrame, field: str = "question_cognitive_diff", id_col: str = "qg_id", map_col: str = "llm_diff_judge", time_col: str = "annotated_at") -> DataFrame:
@@ -44,6 +58,12 @@ def latest_scores(df: DataFrame, field: str = "question_cognitive_diff", id_col:
     return usable.groupBy("item", "judge").agg(F.max_by("score", F.struct("at", "score")).alias("score"))
 
 
+def judge_range(n: int, within: list[int], most: float) -> float:
+    """The end of the range of a judge with n scores, so many of them within each of RANGES."""
+    stray = max(int(STRAY * n), int(n >= 20))
+    return next((x for x, k in zip(RANGES, within) if k >= n - stray), float(most))
+
+
 class TripletModel:
     """Vote probabilities of each judge under each class, from pair sums."""
 
@@ -110,20 +130,63 @@ def reliability(share: np.ndarray, table: np.ndarray) -> np.ndarray:
     return (hit - chance) / np.maximum(1 - chance, 1e-9)
 
 
+def solve_views(total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(shares, first, second): shares of the classes, and the mean of the first and the second view under each class (in columns), from
+    total[i, j, k], the sums of first x second x third view. Slices along the third view, over their sum, are diagonal in the same
+    base, whose columns are the first view's means. None where the views say too little."""
+    pair = total.sum(2)
+    pair = pair / max(pair.sum(), 1e-12)
+    if np.linalg.cond(pair) > 1e4:
+        return None
+    turn = np.linalg.inv(pair)
+    slices = [total[:, :, k] / max(total.sum(), 1e-12) @ turn for k in range(K)]
+    # A mix of slices whose eigenvalues lie apart: of some fixed mixes, the one with the largest least gap.
+    best, base = 0.0, None
+    for mix in np.random.default_rng(1).normal(size=(24, K)):
+        values, vectors = np.linalg.eig(sum(m * x for m, x in zip(mix, slices)))
+        if np.abs(values.imag).max() > 1e-9:
+            continue
+        v = np.sort(values.real)
+        gap = float(np.diff(v).min() / max(v[-1] - v[0], 1e-12))
+        if gap > best:
+            best, base = gap, vectors.real
+    if base is None or np.abs(base.sum(0)).min() < 1e-6:
+        return None
+    base = base / base.sum(0)  # views are shares
+    order = np.argmax(base, 0)
+    if len(set(order.tolist())) < K or base.min() < -0.1:
+        return None
+    first = np.empty_like(base)
+    first[:, order] = base
+    share = np.linalg.solve(first, pair.sum(1))
+    if share.min() <= 0:
+        return None
+    second = np.linalg.solve(first, pair).T / share
+    return share, first, second
+
+
+def deal(names: list[str], round_: int) -> np.ndarray:
+    """The part, 0 to 2, of each judge: equal parts in the order of a hash."""
+    order = np.argsort([zlib.crc32(f"{round_}|{name}".encode()) for name in names], kind="stable")
+    part = np.empty(len(names), dtype=int)
+    part[order] = np.arange(len(names)) % 3
+    return part
+
+
 class Consensus:
     """Labels, agreement and reliabilities for a table of records with judges' scores."""
 
-    def __init__(self, df: DataFrame, min_judges: int = 1, rounds: int = 3, **columns: str):
-        """rounds: how often the shares of the classes and the log-odds are taken anew from the consensus that the last ones gave;
-        0 leaves what the triplets gave."""
+    def __init__(self, df: DataFrame, min_judges: int = 1, deals: int = DEALS, **columns: str):
+        """deals: how often the judges are dealt into three parts; 0 leaves what pairs give."""
         spark = df.sparkSession
         self.spark, self.min_judges = spark, min_judges
         scores = materialise(latest_scores(df, **columns), "scores")
-        stats = scores.groupBy("judge").agg(F.max("score").alias("most"), F.count("*").alias("n")).orderBy("judge").limit(MAX_JUDGES + 1).collect()
+        within = [F.count(F.when(F.col("score") <= x, 1)).alias(f"r{i}") for i, x in enumerate(RANGES)]
+        stats = scores.groupBy("judge").agg(F.max("score").alias("most"), F.count("*").alias("n"), *within).orderBy("judge").limit(MAX_JUDGES + 1).collect()
         if len(stats) > MAX_JUDGES:
             raise ValueError(f"more than {MAX_JUDGES} judges")
         self.names = [r["judge"] for r in stats]
-        ranges = [(r["judge"], i, next((x for x in RANGES if r["most"] <= x), float(r["most"]))) for i, r in enumerate(stats)]
+        ranges = [(r["judge"], i, judge_range(r["n"], [r[f"r{x}"] for x in range(len(RANGES))], r["most"])) for i, r in enumerate(stats)]
         table = F.broadcast(spark.createDataFrame(ranges, "judge STRING, j INT, top DOUBLE"))  # at most MAX_JUDGES rows
         unit = F.col("score") / F.col("top")
         vote = F.when(unit < 1 / 3, 0).when(unit < 2 / 3, 1).otherwise(2)
@@ -131,8 +194,8 @@ class Consensus:
         self.model = TripletModel(self.names, self._pair_sums())
         self.share = self.model.share
         self.table = self.model.probabilities(self.share)
-        for _ in range(rounds if self.names else 0):
-            self._recalibrate()
+        if len(self.names) >= 3 and deals:
+            self._from_views(deals)
 
     def _pair_sums(self) -> np.ndarray:
         """Each batch of records becomes a 0/1 matrix of records by (judge, vote); its product with itself holds all pair counts."""
@@ -156,29 +219,56 @@ class Consensus:
         share = np.clip(self.share, 1e-3, 1)
         return np.log(share / share.sum()), np.log(self.table).transpose(0, 2, 1).reshape(-1, K)
 
-    def _recalibrate(self) -> None:
-        """Count each judge's votes against the weighted consensus. The triplets know a class only against the other two
-        together; a judge who errs towards one neighbour more than the other is told apart here."""
+    def _from_views(self, deals: int) -> None:
+        """The whole confusion matrix of each judge, from the moments of three views."""
         prior, odds = self._log_odds()
         n = len(self.names)
+        parts = [deal(self.names, d) for d in range(deals)]
+        wide = [np.repeat(p, K) for p in parts]
 
-        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros((n * K + 1, K))
+        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            views, votes = np.zeros((deals, K, K, K)), np.zeros((deals, n * K, K, K))
             for batch in batches:
                 m, _ = vote_matrix(batch["votes"], n)
-                p = posterior(m, prior, odds)
-                total[:-1] += m.T @ p
-                total[-1] += p.sum(0)
-            a, k = np.indices(total.shape)
-            yield pd.DataFrame({"a": a.ravel(), "k": k.ravel(), "p": total.ravel()})
-
-        total = np.zeros((n * K + 1, K))
-        for a, k, p in self.votes.select("votes").mapInPandas(count, "a INT, k INT, p DOUBLE").groupBy("a", "k").agg(F.sum("p")).collect():
-            total[a, k] = p
-        if total[-1].sum() > 0:
-            self.share = total[-1] / total[-1].sum()
-            votes = total[:-1].reshape(n, K, K).transpose(0, 2, 1) + 0.5
-            self.table = votes / votes.sum(2, keepdims=True)
+                for d in range(deals):
+                    view = [posterior(m * (wide[d] == g), prior, odds) for g in range(3)]
+                    views[d] += np.einsum("ri,rj,rk->ijk", *view)
+                    for g in range(3):
+                        one, two = view[(g + 1) % 3], view[(g + 2) % 3]
+                        both = (one[:, :, None] * two[:, None, :]).reshape(len(m), K * K)
+                        votes[d][wide[d] == g] += (m[:, wide[d] == g].T @ both).reshape(-1, K, K)
+            whole = np.concatenate([views.ravel(), votes.ravel()])
+            yield pd.DataFrame({"at": np.arange(len(whole)), "s": whole})
+
+        size = deals * K**3
+        whole = np.zeros(size + deals * n * K**3)
+        for at, s in self.votes.select("votes").mapInPandas(sums, "at INT, s DOUBLE").groupBy("at").agg(F.sum("s")).collect():
+            whole[at] = s
+        views, votes = whole[:size].reshape(deals, K, K, K), whole[size:].reshape(deals, n, K, K, K)
+        found, weight, shares = np.zeros((n, K, K)), np.zeros(n), []
+        for d in range(deals):
+            for g in range(3):
+                # The view of part g is the third; the first and second solve the judges of part g.
+                solved = solve_views(np.transpose(views[d], ((g + 1) % 3, (g + 2) % 3, g)))
+                if solved is None:
+                    continue
+                share, first, second = solved
+                shares.append(share)
+                left, right = np.linalg.inv(first), np.linalg.inv(second)
+                for i in np.flatnonzero(parts[d] == g):
+                    # sums of first x second over the records that the judge gives a vote = first diag(share * P(vote | class)) second^T
+                    p = np.stack([np.diag(left @ votes[d, i, v] @ right.T) for v in range(K)], 1)  # [class, vote]
+                    if p.sum(1).min() > 0:
+                        found[i] += p / p.sum(1, keepdims=True)
+                        weight[i] += 1
+        if not shares:
+            return
+        self.share = np.mean(shares, 0)
+        self.share /= self.share.sum()
+        p = np.clip(found / np.maximum(weight, 1)[:, None, None], 0.004, 1)
+        p /= p.sum(2, keepdims=True)
+        trust = np.where(weight > 0, self.model.votes / (self.model.votes + FEW_VOTES), 0.0)[:, None, None]
+        self.table = trust * p + (1 - trust) * self.table
 
     def labels(self) -> DataFrame:
         """(item, label, confidence, n_judges, agreement): agreement is the share of pairs of the record's judges that vote alike,

@@ -69,6 +69,24 @@ def test_consensus_merges_deliveries_and_ranges(spark):
     assert AC.Consensus(df.limit(0)).labels().count() == 0 and AC.Consensus(df.limit(0)).judges().count() == 0
 
 
+def test_views_tell_which_neighbour_a_judge_errs_towards(spark):
+    rng = np.random.default_rng(8)
+    truth = rng.choice(3, 6000, p=[0.35, 0.4, 0.25])
+    fair, lenient, strict = ([[0.8, 0.15, 0.05], [0.1, 0.8, 0.1], [0.05, 0.15, 0.8]], [[0.92, 0.07, 0.01], [0.4, 0.55, 0.05], [0.05, 0.45, 0.5]], [[0.5, 0.4, 0.1], [0.05, 0.55, 0.4], [0.01, 0.07, 0.92]])
+    tables = [np.array(t) for t in (fair, lenient, strict, fair, lenient, strict)]
+    rows = [(i, {f"j{j}": (float(rng.choice(3, p=t[y])) / 3 + 0.15,) for j, t in enumerate(tables) if rng.random() < 0.8}, None) for i, y in enumerate(truth.tolist())]
+    df = spark.createDataFrame(rows, JUDGED)
+    pairs, views = AC.Consensus(df, deals=0), AC.Consensus(df)
+    gap = lambda c: np.mean([np.abs(c.table[c.names.index(f"j{j}")] - t).mean() for j, t in enumerate(tables)])
+    assert gap(views) < 0.03 and gap(views) < 0.7 * gap(pairs)
+
+
+def test_a_stray_score_does_not_stretch_a_range(spark):
+    assert AC.judge_range(1000, [999, 1000, 1000, 1000, 1000], 1.5) == 1.0
+    assert AC.judge_range(1000, [300, 990, 999, 1000, 1000], 50.0) == 10.0
+    assert AC.judge_range(3, [2, 3, 3, 3, 3], 4.0) == 5.0 and AC.judge_range(2, [0] * 5, 4000.0) == 4000.0
+
+
 # ---- 2: mixing ----
 
 TARGETS = "mix_id STRING, source STRING, difficulty STRING, weight DOUBLE, max_repeats INT, size_ratio DOUBLE"
