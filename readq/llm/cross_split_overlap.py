@@ -1,12 +1,16 @@
 """Same or near-same records across splits (problem 3).
 
 The distinct normalised passages of the evaluation splits are cut into shards of bounded size, by length, and written once into
-the shared folder. Every task reads its part of the training texts once and takes the shards of the fitting lengths one by one.
-Which pairs are compared is decided by an exact prefix filter: a word and the number of its occurrence in the text are a token,
-so texts are sets. Near texts of n words lose no more than n - ceil(0.8 n) tokens each; so of the first n - ceil(0.8 n) + k tokens of
-each, in one order for both, they share at least k. The order is from the rarest tokens of the shard on, and k grows with n. No pair
-is left out, whatever was changed and however many copies of a passage there are. Pairs that remain are compared exactly: the
-longest common subsequence of words must hold at least four fifths of the longer text.
+the shared folder. Each shard has an Aho-Corasick automaton over the signature words of its passages, and every distinct training
+text is scanned by the automata of the shards whose lengths fit. The intervals matched are merged into the coverage of each
+evaluation passage: how many of its signature words the text holds. Passages covered enough are compared exactly: the longest
+common subsequence of words must hold at least four fifths of the longer text.
+
+Which words are signatures makes the filter exact. A word and the number of its occurrence in the text are a token, so texts are
+sets. Near texts of n words lose no more than n - ceil(0.8 n) tokens each; so of the first n - ceil(0.8 n) + k tokens of each, in
+one order for both, they share at least k. Those tokens of a passage, rarest in the shard first, are its signature, tokens in no
+signature come last in the order, and k, the coverage asked for, grows with n. So no pair is left out, whatever was changed
+and however many copies of a passage there are.
 
 The questions of passages that belong together are compared in the same way, after an exact prefix filter: two texts that keep
 four fifths of their words share one of the first fifth (and one more) of their words in any fixed order. So neither records
@@ -24,6 +28,7 @@ import pickle
 import zlib
 from collections.abc import Iterator, Sequence
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -34,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readq.functions.text import code_name
+from readq.llm.memo import Memo
 from readq.session import fresh_path, materialise
 
 KEPT = 0.8
@@ -41,14 +47,12 @@ KEPT = 0.8
 MET = 6
 #: So many meetings of a text's token and a passage that holds it are worked on at once.
 MEETINGS = 500_000
-#: So many training texts are ordered at once.
+#: So many training texts are scanned at once.
 TOGETHER = 500
 #: Words of all passages of a shard, about; it bounds the memory a shard takes.
 SHARD_WORDS = 1_000_000
 #: Words rarer than one in so many are not counted for the order of the prefix filter.
 FREQUENT = 20_000
-#: A worker remembers so many texts.
-REMEMBERED = 100_000
 #: Lengths within a band differ by this factor.
 BAND = 1.3
 #: A task holds so many characters of training texts while the shards pass.
@@ -99,51 +103,67 @@ def fewest(n: np.ndarray) -> np.ndarray:
     return np.ceil(KEPT * n - 1e-9).astype(np.int64)
 
 
-def tokens(coded: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sizes, owner, token) of texts of symbols: token is a word with the number of its occurrence in the text, so that texts are sets of them."""
-    sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-    codes = np.frombuffer("".join(coded).encode("utf-32-le"), np.uint32).astype(np.int64)
-    key = np.sort(np.repeat(np.arange(len(coded)), sizes) << 21 | codes)
+def tokens(owner: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, token) of the words of texts: token is a word with the number of its occurrence in the text, so that texts are sets of them."""
+    key = np.sort(owner << 32 | word)
     at = np.arange(len(key))
     fresh = np.r_[True, key[1:] != key[:-1]][: len(key)]
-    return sizes, key >> 21, key & (1 << 21) - 1 | at - np.maximum.accumulate(np.where(fresh, at, 0)) << 21
+    return key >> 32, key & (1 << 32) - 1 | at - np.maximum.accumulate(np.where(fresh, at, 0)) << 32
 
 
-def prefixes(sizes: np.ndarray, owner: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(met, owner, rank): of each text the tokens of lowest rank, so many that two near texts have `met` (the lesser of theirs) in common."""
+def signatures(sizes: np.ndarray, owner: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(met, owner, rank): of each text the tokens of lowest rank, so many that two near texts have `met` (the lesser of theirs) in common.
+    sizes: words of each text; tokens of a text that are not given come last in the order."""
     need = fewest(sizes)
     met = np.minimum(need, 1 + sizes // MET)
-    key = np.sort(owner << 32 | rank + 1)
-    at = np.arange(len(key)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    key = key[at < np.repeat(sizes - need + met, sizes)]
-    return met, key >> 32, (key & (1 << 32) - 1) - 1
+    key = np.sort(owner << 32 | rank)
+    held = np.bincount(key >> 32, minlength=len(sizes))
+    at = np.arange(len(key)) - np.repeat(np.cumsum(held) - held, held)
+    key = key[at < np.repeat(sizes - need + met, held)]
+    return met, key >> 32, key & (1 << 32) - 1
 
 
 class Shard:
-    """The prefixes of some passages, by token."""
+    """Some passages, their signatures by token, and the automaton over the words of all signatures."""
 
     def __init__(self, keys: list[bytes], texts: list[str]):
         self.keys, self.texts = keys, texts
-        symbols = Symbols()
-        self.coded = [symbols.code(t) for t in texts]
-        self.sizes, owner, token = tokens(self.coded)
-        self.known, where, count = np.unique(token, return_inverse=True, return_counts=True)
-        self.rank = np.empty(len(count), np.int64)
-        self.rank[np.argsort(count, kind="stable")] = np.arange(len(count))
-        self.met, owner, rank = prefixes(self.sizes, owner, self.rank[where])
-        order = np.argsort(rank, kind="stable")
+        vocabulary: dict[str, int] = {}
+        split = [t.split(" ") for t in texts]
+        self.sizes = np.fromiter(map(len, split), np.int64, len(split))
+        word = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for ws in split for w in ws), np.int64, self.sizes.sum())
+        owner, token = tokens(np.repeat(np.arange(len(texts)), self.sizes), word)
+        known, where, count = np.unique(token, return_inverse=True, return_counts=True)
+        rank = np.empty(len(count), np.int64)
+        rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+        self.met, owner, signed = signatures(self.sizes, owner, rank[where])
+        order = np.argsort(signed, kind="stable")
         self.holders = owner[order].astype(np.int32)
-        self.start = np.searchsorted(rank[order], np.arange(len(count) + 1))
-
-    def ranks(self, token: np.ndarray) -> np.ndarray:
-        """The places of tokens in the order, -1 for those no passage holds."""
+        self.start = np.searchsorted(signed[order], np.arange(len(count) + 1))
+        used = np.zeros(len(count), bool)
+        used[signed] = True
+        self.known, self.rank = known[used[rank]], rank[used[rank]]
+        names = list(vocabulary)
+        self.signs = [(names[w], w) for w in np.unique(self.known & (1 << 32) - 1).tolist()]
+        self.automaton = None
+
+    def scan(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(owner, rank): the tokens of signatures that the automaton matches in each text."""
+        if self.automaton is None:
+            self.automaton = ahocorasick.Automaton()
+            for name, w in self.signs:
+                self.automaton.add_word(f" {name} ", w)
+            self.automaton.make_automaton()
+        found = [[w for _, w in self.automaton.iter(f" {t} ")] for t in texts]
+        owner = np.repeat(np.arange(len(texts)), np.fromiter(map(len, found), np.int64, len(texts)))
+        owner, token = tokens(owner, np.fromiter((w for x in found for w in x), np.int64, len(owner)))
         at = np.minimum(np.searchsorted(self.known, token), len(self.known) - 1)
-        return np.where(self.known[at] == token, self.rank[at], -1)
+        signed = self.known[at] == token
+        return owner[signed], self.rank[at[signed]]
 
     def candidates(self, sizes: np.ndarray, owner: np.ndarray, rank: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(text, passage): every pair that may be near."""
-        met, owner, rank = prefixes(sizes, owner, rank)
-        owner, rank = owner[rank >= 0], rank[rank >= 0]
+        """(text, passage): every pair that may be near, as the text covers enough of the passage's signature."""
+        met, owner, rank = signatures(sizes, owner, rank)
         many = self.start[rank + 1] - self.start[rank]
         ends = np.cumsum(many)
         i, width = 0, len(self.keys)
@@ -159,8 +179,8 @@ class Shard:
             pair += self.holders[place]
             cells = (last - first + 1) * width
             if cells <= 4 * len(pair):
-                common = np.bincount(pair, minlength=cells).reshape(-1, width)
-                text, passage = np.nonzero(common >= np.minimum.outer(met[first : last + 1], self.met))
+                covered = np.bincount(pair, minlength=cells).reshape(-1, width)
+                text, passage = np.nonzero(covered >= np.minimum.outer(met[first : last + 1], self.met))
                 text += first
             else:
                 pair.sort()
@@ -174,9 +194,9 @@ class Shard:
             yield from zip(text[fit].tolist(), passage[fit].tolist())
             i = j
 
-    def same(self, c: int, text: str, coded: str, own: set[str]) -> bool:
+    def same(self, c: int, text: str, coded: str, own: set[str], symbols: Symbols) -> bool:
         """Whether the text is the same as passage c, or nearly. coded, own: the text as symbols, and these as a set."""
-        other = self.coded[c]
+        other = symbols.code(self.texts[c])
         longer = max(len(other), len(coded))
         # Words of the passage that the text lacks are lost for certain.
         if len(set(other) - own) > len(other) - KEPT * longer:
@@ -210,33 +230,31 @@ def read_records(df: DataFrame) -> DataFrame:
     with one or more of its records in each role. The texts are read once, and a text met again in a task is not worked on again."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: dict[str, bytes | None] = {}
-        given: set[tuple[str, bytes]] = set()
-        asked: dict[str, str] = {}
+        keys, asked, given = Memo(), Memo(), Memo(8 << 20)
         for batch in batches:
             role, passages, questions = (batch.column(i).to_pylist() for i in (1, 4, 5))
             k, texts, qs, keep = [], [], [], []
             for r, p, q in zip(role, passages, questions):
                 text = None
-                if p not in keys:
+                if p in keys:
+                    key = keys[p]
+                else:
                     text = plain_words(p)
-                    keys[p] = hashlib.md5(text.encode()).digest() if text else None
-                key = keys[p]
-                if q not in asked:
-                    asked[q] = plain_words(q)
-                if key is None or not asked[q]:
+                    keys[p] = key = hashlib.md5(text.encode()).digest() if text else None
+                if q in asked:
+                    question = asked[q]
+                else:
+                    asked[q] = question = plain_words(q)
+                if key is None or not question:
                     keep.append(False)
                     continue
                 keep.append(True)
                 k.append(key)
-                qs.append(asked[q])
+                qs.append(question)
                 fresh = (r, key) not in given
                 texts.append((plain_words(p) if text is None else text) if fresh else None)
-                given.add((r, key))
-            if len(keys) > REMEMBERED:
-                keys, given = {}, set()
-            if len(asked) > REMEMBERED:
-                asked = {}
+                if fresh:
+                    given[r, key] = True
             rest = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([*(rest.column(i) for i in range(4)), pa.array(k, pa.binary()), pa.array(texts, pa.string()), pa.array(qs, pa.string())], ["rec", "role", "split", "source", "k", "passage", "question"])
 
@@ -277,56 +295,50 @@ def passage_links(records: DataFrame) -> DataFrame:
                     return pickle.loads(value.as_buffer())
         return None
 
-    def scan_held(held: dict[bytes, str]) -> pa.RecordBatch:
+    def scan_held(held: list[tuple[bytes, str]]) -> pa.RecordBatch:
         left, right = [], []
         symbols = Symbols()
-        keys, texts = list(held), list(held.values())
-        coded = [symbols.code(t) for t in texts]
-        sizes, owner, token = tokens(coded)
-        starts = np.r_[0, np.cumsum(sizes)]
-        # A token met in several texts is looked up once in a shard.
-        every, token = np.unique(token, return_inverse=True)
-        owner, token = owner.astype(np.int32), token.astype(np.int32)
+        keys, texts = [k for k, _ in held], [t for _, t in held]
+        sizes = np.fromiter((t.count(" ") + 1 for t in texts), np.int64, len(texts))
         for number, least, most in shards:
-            fit = (sizes >= KEPT * least) & (sizes <= most / KEPT)
-            shard = load(number) if fit.any() else None
+            fit = np.flatnonzero((sizes >= KEPT * least) & (sizes <= most / KEPT))
+            shard = load(number) if len(fit) else None
             if shard is None:
                 continue
-            rank = shard.ranks(every)
-            for i in range(0, len(texts), TOGETHER):
-                chosen = np.flatnonzero(fit[i : i + TOGETHER])
-                part = slice(starts[i], starts[min(i + TOGETHER, len(texts))])
-                here = fit[owner[part]]
-                places = np.repeat(np.arange(len(chosen)), sizes[i + chosen])
-                last, own = -1, set()
-                for x, c in shard.candidates(sizes[i + chosen], places, rank[token[part][here]]):
-                    t = i + chosen[x]
+            for i in range(0, len(fit), TOGETHER):
+                chosen = fit[i : i + TOGETHER]
+                owner, rank = shard.scan([texts[t] for t in chosen])
+                last, coded, own = -1, "", set()
+                for x, c in shard.candidates(sizes[chosen], owner, rank):
+                    t = chosen[x]
                     if t != last:
-                        last, own = t, set(coded[t])
-                    if shard.same(c, texts[t], coded[t], own):
+                        last, coded = t, symbols.code(texts[t])
+                        own = set(coded)
+                    if shard.same(c, texts[t], coded, own, symbols):
                         left.append(keys[t])
                         right.append(shard.keys[c])
         return pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["tk", "ek"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, str] = {}
+        held: list[tuple[bytes, str]] = []
         chars = 0
         for batch in batches:
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if k not in held:
-                    held[k] = text
-                    chars += len(text)
-            if chars > HELD_CHARS:
-                yield scan_held(held)
-                held, chars = {}, 0
+                held.append((k, text))
+                chars += len(text)
+                if chars > HELD_CHARS:
+                    yield scan_held(held)
+                    held, chars = [], 0
         if held:
             yield scan_held(held)
 
-    train = records.where("role = 'T' AND passage IS NOT NULL").select("k", "passage")
     # A task loads the shards once for all texts it holds: as few tasks as there are cores, or as the memory asks for.
+    train = records.where("role = 'T' AND passage IS NOT NULL").select("k", "passage")
     chars = train.agg(F.sum(F.length("passage"))).first()[0] or 0
-    train = train.coalesce(max(spark.sparkContext.defaultParallelism, -(-chars // HELD_CHARS)))
-    return materialise(train.mapInArrow(scan, "tk BINARY, ek BINARY").distinct(), "links")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-chars // HELD_CHARS))
+    texts = train.repartition(tasks, "k").groupBy("k").agg(F.first("passage").alias("passage"))
+    # A text is given to one shard scan only, so links are distinct.
+    return materialise(texts.mapInArrow(scan, "tk BINARY, ek BINARY"), "links")
 
 
 def prefix_words(questions: DataFrame) -> DataFrame:
@@ -346,9 +358,9 @@ def prefix_words(questions: DataFrame) -> DataFrame:
     return ranked.select("question", F.explode(first).alias("x")).select("question", "x.word")
 
 
-def overlapping_records(df: DataFrame) -> DataFrame:
-    """(train_id, eval_id, eval_split, eval_source, same_source): every pair of a training and an evaluation record with the same or nearly
-    the same passage and question."""
+def overlap_classes(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records, alike). records: rec, role, split, source, k, question, those whose passage has a near one on the other side; alike: tk, tq, ek,
+    eq, the passages and questions of training and evaluation records that belong together, once for all copies."""
     records = materialise(read_records(df), "texts")
     links = passage_links(records)
     small = records.select("rec", "role", "split", "source", "k", "question")
@@ -362,31 +374,45 @@ def overlapping_records(df: DataFrame) -> DataFrame:
     met = t.join(e, ["tk", "ek", "word"]).where(F.least(n("tq"), n("eq")) >= KEPT * F.greatest(n("tq"), n("eq"))).select("tk", "ek", "tq", "eq").distinct()
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[tuple[str, str], bool] = {}
+        known = Memo()
         for b in batches:
             keep = np.zeros(len(b), dtype=bool)
             for i, pair in enumerate(zip(b["tq"], b["eq"])):
-                if pair not in known:
-                    known[pair] = near(pair[0].split(" "), pair[1].split(" "))
-                keep[i] = known[pair]
-            if len(known) > 200_000:
-                known.clear()
+                alike = known.get(pair)
+                if alike is None:
+                    known[pair] = alike = near(pair[0].split(" "), pair[1].split(" "))
+                keep[i] = alike
             yield b[keep]
 
-    alike = met.mapInPandas(compare, "tk BINARY, ek BINARY, tq STRING, eq STRING")
+    return small, met.mapInPandas(compare, "tk BINARY, ek BINARY, tq STRING, eq STRING")
+
+
+def overlapping_records(df: DataFrame) -> DataFrame:
+    """(train_id, eval_id, eval_split, eval_source, same_source): every pair of a training and an evaluation record with the same or nearly
+    the same passage and question."""
+    small, alike = overlap_classes(df)
     train = small.where("role = 'T'").select(F.col("k").alias("tk"), F.col("question").alias("tq"), F.col("rec").alias("train_id"), F.col("source").alias("train_source"))
     evals = small.where("role = 'E'").select(F.col("k").alias("ek"), F.col("question").alias("eq"), F.col("rec").alias("eval_id"), F.col("split").alias("eval_split"), F.col("source").alias("eval_source"))
     pairs = alike.join(train, ["tk", "tq"]).join(evals, ["ek", "eq"])
     return pairs.select("train_id", "eval_id", "eval_split", "eval_source", F.col("train_source").eqNullSafe(F.col("eval_source")).alias("same_source")).dropDuplicates(["train_id", "eval_id"])
 
 
-def overlap_report(pairs: DataFrame, df: DataFrame) -> DataFrame:
-    """For each evaluation split and source: its records, those found in the training split, the pairs, and the pairs under another source."""
-    role = split_role()
-    records = df.where(F.col("rec_id").isNotNull() & (role == "E")).select("rec_id", F.lower(F.trim("split")).alias("split"), code_name("source").alias("source")).groupBy("rec_id").agg(F.min("split").alias("split"), F.min("source").alias("source"))
-    every = records.groupBy("split", "source").agg(F.count("*").alias("records"))
-    found = pairs.groupBy("eval_id", "eval_split", "eval_source").agg(F.count("*").alias("pairs"), F.sum((~F.col("same_source")).cast("bigint")).alias("other_source"))
-    found = found.groupBy("eval_split", "eval_source").agg(F.count("*").alias("overlapping"), F.sum("pairs").alias("pairs"), F.sum("other_source").alias("other_source"))
-    on = every["split"].eqNullSafe(found["eval_split"]) & every["source"].eqNullSafe(found["eval_source"])
-    zero = F.lit(0)
-    return every.join(found, on, "left").select("split", "source", "records", F.coalesce("overlapping", zero).alias("overlapping"), F.coalesce("pairs", zero).alias("pairs"), F.coalesce("other_source", zero).alias("other_source"))
+def overlap_report(df: DataFrame) -> DataFrame:
+    """For each evaluation split and source: its records, those found in the training split, the pairs, and the pairs under another source.
+
+    Pairs are counted from the numbers of copies on both sides, never written out; a record that came with several texts counts in the
+    pairs of each."""
+    small, alike = overlap_classes(df)
+    copies = small.where("role = 'T'").groupBy(F.col("k").alias("tk"), F.col("question").alias("tq"), F.col("source").alias("ts")).agg(F.countDistinct("rec").alias("n"))
+    met = materialise(alike.join(copies, ["tk", "tq"]).groupBy("ek", "eq", "ts").agg(F.sum("n").alias("n")), "met")
+    found = small.where("role = 'E'").groupBy(F.col("k").alias("ek"), F.col("question").alias("eq"), "split", "source").agg(F.countDistinct("rec").alias("m"))
+    found = found.join(met.groupBy("ek", "eq").agg(F.sum("n").alias("total")), ["ek", "eq"])
+    same = met.select(F.col("ek").alias("ek2"), F.col("eq").alias("eq2"), "ts", F.col("n").alias("same"))
+    found = found.join(same, (F.col("ek") == F.col("ek2")) & (F.col("eq") == F.col("eq2")) & F.col("source").eqNullSafe(F.col("ts")), "left")
+    pairs = found.groupBy("split", "source").agg(F.sum(F.col("m") * F.col("total")).alias("pairs"), F.sum(F.col("m") * (F.col("total") - F.coalesce("same", F.lit(0)))).alias("other_source"))
+    hit = small.where("role = 'E'").select("rec", "split", "source", F.col("k").alias("ek"), F.col("question").alias("eq")).join(met.select("ek", "eq").distinct(), ["ek", "eq"], "left_semi")
+    hit = hit.groupBy("split", "source").agg(F.countDistinct("rec").alias("overlapping"))
+    records = df.where(F.col("rec_id").isNotNull() & (split_role() == "E")).select("rec_id", F.lower(F.trim("split")).alias("split"), code_name("source").alias("source")).groupBy("rec_id").agg(F.min("split").alias("split"), F.min("source").alias("source"))
+    # One row for each split and source in each of the three: absent ones count 0, null sources are a source.
+    parts = [t.select("split", "source", *[(F.col(c) if c in t.columns else F.lit(0)).cast("bigint").alias(c) for c in ("records", "overlapping", "pairs", "other_source")]) for t in (records.groupBy("split", "source").agg(F.count("*").alias("records")), hit, pairs)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("split", "source").agg(*[F.sum(c).alias(c) for c in ("records", "overlapping", "pairs", "other_source")])

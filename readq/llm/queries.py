@@ -99,10 +99,9 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
-    from readq.llm.cross_split_overlap import overlap_report, overlapping_records
+    from readq.llm.cross_split_overlap import overlap_report
 
-    qde = table(spark, d, "qde")
-    return overlap_report(overlapping_records(qde), qde)
+    return overlap_report(table(spark, d, "qde"))
 
 
 def _defects(spark: SparkSession, d: str) -> DataFrame:

@@ -147,7 +147,7 @@ def test_overlap_equals_brute_force(spark):
     plain = {r[0]: (CO.plain_words(r[1]).split(), CO.plain_words(r[2]).split(), r[6].strip() if r[6] else None) for r in rows if r[0]}
     want = {(a, b) for a, x in plain.items() if x[2] == "train" for b, y in plain.items() if y[2] in ("val", "test") and CO.near(x[0], y[0]) and CO.near(x[1], y[1])}
     assert want and got == want
-    assert CO.overlap_report(CO.overlapping_records(df), df).agg(F.sum("pairs")).first()[0] == len(want)
+    assert CO.overlap_report(df).agg(F.sum("pairs")).first()[0] == len(want)
     assert CO.overlapping_records(df.limit(0)).count() == 0
 
 
