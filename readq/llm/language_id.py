@@ -20,7 +20,7 @@ not among the rows. Equal shares go to the language named first. Very long texts
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -67,7 +67,11 @@ FULL_SENTENCE = 40
 
 _SENTENCE_END = re.compile(r"[.!?…。？！]+[\"'”»’)\]]*(?=\s|$)|[\n\r]+|\s/\s")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_BITS = np.concatenate([(np.arange(1 << N)[:, None] >> np.arange(N)[None, :]) & 1, np.arange(1 << N)[:, None] > 0], 1).astype(np.int16)
+#: For each bit mask its bits, and whether there is any.
+_BITS = np.concatenate([(np.arange(1 << N)[:, None] >> np.arange(N)[None, :]) & 1, np.arange(1 << N)[:, None] > 0], 1).astype(np.float64)
+#: Pieces whose masks are tallied at once.
+TALLIED = 4096
+_ALPHA = np.array([chr(i).isalpha() for i in range(1 << 16)])
 
 
 def label_code(label: str | None) -> str | None:
@@ -82,11 +86,8 @@ def label_code(label: str | None) -> str | None:
 def label_code_column(col: Column | str) -> Column:
     """The same as a Column."""
     col = F.col(col) if isinstance(col, str) else col
-    first = F.regexp_extract(F.lower(col), r"^[^\p{L}\p{N}]*([\p{L}\p{N}]+)", 1)
-    out = F.lit(None).cast("string")
-    for code, names in NAMES.items():
-        out = F.when(first.isin(*names), code).otherwise(out)
-    return out
+    names = F.create_map(*[F.lit(x) for code, spelled in NAMES.items() for name in spelled for x in (name, code)])
+    return F.try_element_at(names, F.regexp_extract(F.lower(col), r"^[^\p{L}\p{N}]*([\p{L}\p{N}]+)", 1))
 
 
 def letters(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -95,12 +96,10 @@ def letters(text: str) -> tuple[np.ndarray, np.ndarray]:
     if len(low) != len(text):  # a few letters change length in lower case
         low = "".join(c.lower()[:1] for c in text)
     points = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    is_letter = _ALPHA[np.minimum(points, len(_ALPHA) - 1)]
     small = points < 128
-    is_letter = np.where(small, (points >= 97) & (points <= 122), False)
-    if not small.all():
-        rest = np.nonzero(~small)[0]
-        kinds = {p: chr(p).isalpha() for p in np.unique(points[rest]).tolist()}
-        is_letter[rest] = [kinds[p] for p in points[rest].tolist()]
+    if (far := np.flatnonzero(points >= len(_ALPHA))).size:
+        is_letter[far] = [chr(p).isalpha() for p in points[far].tolist()]
     keep = is_letter.copy()
     keep[1:] |= is_letter[:-1]  # the first blank after a letter stays
     if not small.all():
@@ -161,52 +160,81 @@ class LanguageFilter:
             m = m & self.slots[self._slot(hashes, k)]
         return m
 
-    def counts(self, text: str, borders: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """For each piece of the text between borders (the last is the text's end): for each language the n-grams it contains,
-        less the false positives expected; and the number of n-grams that any language contains."""
-        points, at = letters(text)
-        bits = np.zeros((len(points) + 1, N + 1), dtype=np.int64)  # the last column: any language
-        for h in gram_hashes(points):
-            bits[1 : len(h) + 1] += _BITS[self.masks(h)]
-        np.cumsum(bits, axis=0, out=bits)
-        ends = np.searchsorted(at, borders)
-        here = np.diff(bits[ends], axis=0, prepend=bits[:1])
-        known = here[:, N].astype(float)
-        return np.maximum((here[:, :N] - known[:, None] * self.false_positive) / (1 - self.false_positive), 0), known
+    def tally(self, texts: list[str], borders: list[list[int]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each piece of the texts, in order: for each language the n-grams it contains, less the false positives expected, and the
+        number of n-grams that any language contains; and for each text the number of its letters with single blanks between.
+        borders: where the pieces of each text end, the text's end among them; without, each text is one piece. An n-gram belongs
+        to the piece it begins in and does not reach into another text."""
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        first = np.cumsum(sizes + 1) - sizes - 1
+        points, at = letters("\n".join(texts))
+        starts, stops = np.searchsorted(at, first), np.searchsorted(at, first + sizes)
+        if borders is None:
+            ends, pieces = stops, np.ones(len(texts), np.int64)
+        else:
+            pieces = np.fromiter(map(len, borders), np.int64, len(texts))
+            ends = np.searchsorted(at, np.repeat(first, pieces) + np.fromiter((x for b in borders for x in b), np.int64, pieces.sum()))
+        begins = np.r_[0, ends[:-1]][: len(ends)]
+        begins[np.cumsum(pieces)[pieces > 0] - pieces[pieces > 0]] = starts[pieces > 0]
+        grams = gram_hashes(points)
+        hits, known = np.zeros((len(ends), N)), np.zeros(len(ends))
+        limit = np.repeat(stops, pieces)
+        for i in range(0, len(ends), TALLIED):
+            part = slice(i, min(i + TALLIED, len(ends)))
+            counted = np.zeros((part.stop - i) << N)
+            for order, h in zip(ORDERS, grams):
+                last = np.maximum(np.minimum(ends[part], limit[part] - order + 1), begins[part])
+                n = last - begins[part]
+                place = np.repeat(begins[part] - (np.cumsum(n) - n), n)
+                place += np.arange(len(place))
+                counted += np.bincount(np.repeat(np.arange(len(n)) << N, n) + self.masks(h[place]), minlength=len(counted))
+            bits = counted.reshape(-1, 1 << N) @ _BITS
+            known[part] = bits[:, N]
+            hits[part] = np.maximum((bits[:, :N] - bits[:, N:] * self.false_positive) / (1 - self.false_positive), 0)
+        return hits, known, stops - starts
 
     def stretches(self, text: str) -> list[tuple[int, int, int, float]]:
-        """(start, end, language number, confidence) of each stretch in one language; none if the text is in none of them.
+        """The stretches of one text, as `all_stretches` gives them."""
+        return self.all_stretches([text])[0]
+
+    def all_stretches(self, texts: list[str | None]) -> list[list[tuple[int, int, int, float]]]:
+        """For each text (start, end, language number, confidence) of each stretch in one language; none if it is in none of them.
         Confidence: the corrected share of the stretch's language, less half that of the next one, from 0 to 1."""
-        if not text:
-            return []
-        borders = [m.end() for m in _SENTENCE_END.finditer(text)]
-        if not borders or borders[-1] < len(text):
-            borders.append(len(text))
-        hits, known = self.counts(text, borders)
-        weight = np.minimum(1.0, known / FULL_SENTENCE)
-        weight[weight < 0.25] = 0.0
+        texts, borders = [t or "" for t in texts], []
+        for text in texts:
+            ends = [m.end() for m in _SENTENCE_END.finditer(text)]
+            if text and (not ends or ends[-1] < len(text)):
+                ends.append(len(text))
+            borders.append(ends)
+        out, i = [], 0
+        hits, known, points = self.tally(texts, borders)
         share = hits / np.maximum(known, 1)[:, None]
-        points = len(letters(text)[0])
-        fits = (weight > 0) & (share.max(1) >= 0.5)
+        weight = np.minimum(1.0, known / FULL_SENTENCE)
+        fits = (weight >= 0.25) & (share.max(1, initial=0) >= 0.5)
+        best = share.argmax(1)
+        for ends, n in zip(borders, points.tolist()):
+            part = slice(i, i + len(ends))
+            i += len(ends)
+            out.append(self._cut(ends, hits[part], known[part], share[part], np.where(fits[part], weight[part], 0.0), best[part], fits[part], n) if ends else [])
+        return out
+
+    @staticmethod
+    def _cut(borders: list[int], hits: np.ndarray, known: np.ndarray, share: np.ndarray, weight: np.ndarray, best: np.ndarray, fits: np.ndarray, points: int) -> list[tuple[int, int, int, float]]:
         if not fits.any() or known.sum() < 0.5 * len(ORDERS) * max(1, points - 8):
             return []
-        weight = np.where(fits, weight, 0.0)
-        best = share.argmax(1)
         of = np.unique(best[fits])
         path = np.full(len(borders), of[0]) if len(of) == 1 or fits.sum() < 4 else cut(share - share.max(1, keepdims=True), weight)
         if len(of) > 1 and fits.sum() < 4:
             path[:] = (hits * (weight > 0)[:, None]).sum(0).argmax()
         out, start, first = [], 0, 0
-        for i in range(1, len(path) + 1):
-            if i == len(path) or path[i] != path[first]:
-                total, n = hits[first:i].sum(0), known[first:i].sum()
-                order = np.sort(total)[::-1] / max(n, 1)
-                own = total[path[first]] / max(n, 1)
-                out.append((start, borders[i - 1], int(path[first]), float(np.clip(own - max(order[1] if own >= order[0] else order[0], 0) / 2, 0, 1))))
-                start, first = borders[i - 1], i
+        for i in [*(np.flatnonzero(path[1:] != path[:-1]) + 1).tolist(), len(path)]:
+            total, n = hits[first:i].sum(0), max(known[first:i].sum(), 1)
+            own = total[path[first]] / n
+            total[path[first]] = 0
+            out.append((start, borders[i - 1], int(path[first]), float(np.clip(own - total.max() / n / 2, 0, 1))))
+            start, first = borders[i - 1], i
         return out
 
-
 def cut(loss: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """The language of each sentence: the best path on which every language holds for two counting sentences or more.
     loss: how much worse each language fits a sentence than the best one does (0 or less)."""
@@ -274,10 +302,11 @@ def fit_filter(labelled: DataFrame, text_col: str = "text", label_col: str = "la
     first = LanguageFilter(good)
     again: dict[str, list[str]] = {}
     for code, x in texts.items():
-        for t in x:
-            for start, end, lang, sure in first.stretches(t):
-                if sure > 0.3:
-                    again.setdefault(LANGS[lang], []).append(t[start:end])
+        for part in chunks(x):
+            for t, found in zip(x[part], first.all_stretches(x[part])):
+                for start, end, lang, sure in found:
+                    if sure > 0.3:
+                        again.setdefault(LANGS[lang], []).append(t[start:end])
     return LanguageFilter({code: again.get(code) or good.get(code, []) for code in LANGS})
 
 
@@ -289,16 +318,30 @@ def language_stretches(df: DataFrame, fitted: LanguageFilter, id_col: str = "doc
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for key, text, label in zip(b[id_col], b["__text"], b["__label"]):
-                found = fitted.stretches(text) if text else []
-                for n, (start, end, lang, sure) in enumerate(found):
-                    out.append((key, n + 1 if len(found) > 1 else 0, LANGS[lang], sure, start, end, label))
+            for part in chunks(b["__text"]):
+                rows = b.iloc[part]
+                for key, label, found in zip(rows[id_col], rows["__label"], fitted.all_stretches(rows["__text"].tolist())):
+                    for n, (start, end, lang, sure) in enumerate(found):
+                        out.append((key, n + 1 if len(found) > 1 else 0, LANGS[lang], sure, start, end, label))
             yield pd.DataFrame(out, columns=[id_col, "seg_no", "lang", "confidence", "first", "last", "label"])
 
     rows = df.select(F.col(id_col), F.col(text_col).alias("__text"), label_code_column(label_col).alias("__label"))
     return rows.mapInPandas(find, f"`{id_col}` {kind}, seg_no INT, lang STRING, confidence DOUBLE, first INT, last INT, label STRING")
 
 
+def chunks(texts: Iterable[str | None], room: int = 200_000) -> Iterator[slice]:
+    """Slices of a batch whose texts have about `room` characters together, or that hold one text."""
+    start = size = end = 0
+    for end, text in enumerate(texts):
+        n = len(text) if text else 0
+        if size and size + n > room:
+            yield slice(start, end)
+            start, size = end, 0
+        size += n + 1
+    if size:
+        yield slice(start, end + 1)
+
+
 def label_cases(stretches: DataFrame) -> DataFrame:
     """The rows of language_stretches that a right label does not explain: several languages, or a label that names no or another language."""
     return stretches.where((F.col("seg_no") > 0) | F.col("label").isNull() | (F.col("label") != F.col("lang")))
