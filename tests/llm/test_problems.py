@@ -443,3 +443,15 @@ def test_filter_has_few_false_positives(filters):
     rng = np.random.default_rng(9)
     masks = filters.masks(rng.integers(0, 2**63, 100_000, dtype=np.uint64))
     assert (masks > 0).mean() < 0.001
+
+
+def test_refusals_worded_otherwise(spark):
+    """Recall on statements, openings and closings that neither the field nor its words have seen, in nine languages."""
+    texts = {"en": EN, "de": DE, "fr": FR}
+    rows = [(i, f"What did the baker do on day {i}?", None, texts[lang], lang) for i in range(60) for lang in texts]
+    df = spark.createDataFrame(rows, PAIRS)
+    shown = {code: tuple(p[:2] + p[3:] for p in parts[:2]) + (parts[2],) for code, parts in RD.REFUSALS.items()}
+    model = RD.DefectModel(RD.Setting(LI.fit_filter(df, "passage", "lang"), []), [(r[1], r[3]) for r in rows], refusals=shown)
+    held = [(code, f"{parts[0][2]} {parts[1][2]}.") for code, parts in RD.REFUSALS.items() if code in texts]
+    found = [model.defect("What did the baker do?", a, texts[code]) for code, a in held]
+    assert found.count("refusal") >= 2, list(zip(held, found))
