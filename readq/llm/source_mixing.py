@@ -101,11 +101,11 @@ class SourceMix:
         on = (F.col("r.mix_id") == F.col("c.mix_id")) & (F.col("r.source") == F.col("c.source")) & F.col("r.difficulty").eqNullSafe(F.col("c.difficulty"))
         small = self.listed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
         rows = r.join(F.broadcast(c) if small else c, on, "left").select("r.*", "c.cut")
-        before = rows.where("rest > 0 AND (cut IS NULL OR slice < cut.slice)").withColumn("extra", F.lit(1))
+        # Rows outside the slice in which the rest ends are told by their slice alone, in one pass.
+        plain = rows.where("rest <= 0 OR cut IS NULL OR slice <> cut.slice").withColumn("extra", F.when(F.expr("rest > 0 AND (cut IS NULL OR slice < cut.slice)"), 1).otherwise(0))
         inside = Window.partitionBy(*keys).orderBy("draw", "rec_id").rowsBetween(Window.unboundedPreceding, 0)
         edge = rows.where("rest > 0 AND slice = cut.slice").withColumn("extra", F.when(F.col("cut.start") + F.sum("size").over(inside) <= F.col("rest"), 1).otherwise(0))
-        after = rows.where("rest <= 0 OR slice > cut.slice").withColumn("extra", F.lit(0))
-        every = before.unionByName(edge).unionByName(after)
+        every = plain.unionByName(edge)
         return every.withColumn("repeats", (F.col("whole") + F.col("extra")).cast("int")).where("repeats > 0").select(*keys, "rec_id", "size", "repeats")
 
     def shares(self) -> DataFrame:
