@@ -78,8 +78,11 @@ _HIDDEN = re.compile("[­​-‏⁠-⁯﻿]")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _CLAUSE = re.compile(r"(?<=[.!?…;:。])[\"'”»’)\]]*\s+|(?<=,)\s+|[\r\n]+")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”»’)\]]*\s+|[\r\n]+")
-#: The last word of each clause of a text.
-_LAST = re.compile(r"([^\W_]+(?:'[^\W_]+)*)[\"'”»’)\]]*(?:[.!?…;:。,]+[\"'”»’)\]]*(?=\s|$)|[\r\n]+|$)")
+#: Where clauses of a text end, blanks following every line break.
+_STOP = re.compile(r"[.!?…;:。,\r\n]+[\"'”»’)\]]*(?!\S)")
+#: Words of ASCII texts are found without a pattern: blanks for all but letters, digits and apostrophes, after those outside of words are gone.
+_PLAIN = {i: chr(i) if chr(i).isalnum() or i == 39 else " " for i in range(128)}
+_LOOSE = re.compile(r"(?<![^\W_])'|'(?![^\W_])")
 _FEATURES = 29
 
 
@@ -87,8 +90,23 @@ def clean(text: str) -> str:
     return text.strip() if text.isascii() else _HIDDEN.sub("", text).replace("’", "'").strip()
 
 
+def split_words(text: str) -> list[str]:
+    if text.isascii():
+        return (_LOOSE.sub(" ", text) if "'" in text else text).translate(_PLAIN).split()
+    return _WORD.findall(text)
+
+
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return split_words(text.lower())
+
+
+def last_words(text: str) -> Iterator[str]:
+    """The last word of each clause."""
+    text, at = text.replace("\n", "\n ") + "\n", 0
+    for m in _STOP.finditer(text):
+        if found := _WORD.findall(text, max(at, text.rfind(" ", at, m.start() - 1)), m.start()):
+            yield found[-1]
+        at = m.end()
 
 
 def is_empty(answer: str | None) -> bool:
@@ -169,11 +187,12 @@ class Setting:
         for (question, answer, passage), clauses, q_n in zip(rows, cut, q_known.tolist()):
             seen = memo.get(passage)
             if seen is None:
-                shown = _WORD.findall(passage)
-                low = [w.lower() for w in shown]
+                shown, low = split_words(passage), words(passage)
+                if len(shown) != len(low):  # a few letters are no letters in lower case
+                    low = [w.lower() for w in shown]
                 memo[passage] = seen = (frozenset(a for a, w in zip(low, shown) if w[0].isupper()), f" {' '.join(low)} ")
             names, body = seen
-            names = names.union(w.lower() for w in _WORD.findall(question) if w[0].isupper())
+            names = names.union(w.lower() for w in split_words(question) if w[0].isupper())
             qw, aw = words(question), words(answer)
             in_order = common(qw, aw) if qw else 0
             repeats = in_order / max(1, len(qw))
@@ -190,7 +209,7 @@ class Setting:
                 at += 1
                 if gap > 0:
                     # Names and numbers are in no language: words of the passage's or question's names, and clauses of nothing but capitalised words.
-                    shown = _WORD.findall(c)
+                    shown = split_words(c)
                     named = n <= 4 and all(a[0].isupper() or a.isdigit() for a in shown) and not (c.isupper() and n > 2)
                     if named or all(a in names or a.isdigit() for a in w):
                         gap = 0.0
@@ -465,10 +484,10 @@ def word_totals(passages: DataFrame) -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         every, final = Counter(), Counter()
         for b in batches:
-            for part in chunks(b["passage"], 2_000_000):
-                text = "\n".join(clean(p) for p in b["passage"].iloc[part]).lower()
-                every.update(_WORD.findall(text))
-                final.update(_LAST.findall(text))
+            for text in b["passage"]:
+                text = clean(text).lower()
+                every.update(split_words(text))
+                final.update(last_words(text))
             if len(every) > 300_000:
                 yield pd.DataFrame({"word": list(every), "n": list(every.values()), "final": [final[w] for w in every]})
                 every, final = Counter(), Counter()
