@@ -22,13 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readq.functions.text import canonical_text, let
+from readq.llm.memo import Memo
 from readq.operators.ordered import prefix_sum
 from readq.session import materialise
 
 #: So many splits may be wanted.
 MAX_SPLITS = 1000
-#: A worker remembers so many texts.
-REMEMBERED = 100_000
 #: Words that stand for nobody, as the author key writes them (names sorted, lower case).
 NOBODY = (
     "", "anonymous", "anon", "author unknown", "unknown", "staff", "staff writer", "staff writers", "editorial staff", "editorial team",
@@ -51,16 +50,16 @@ def record_keys(df: DataFrame, id_col: str, passage_col: str, author_col: str, n
     """(rec, p, a): each row's id with the keys of its passage and author. A passage met again in a task is not worked on again."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str | None, bytes | None] = {None: None}
+        known = Memo()
         for batch in batches:
             keys = []
             for text in batch.column(1).to_pylist():
-                if text not in known:
-                    plain = canonical_text(text)
-                    known[text] = hashlib.md5(plain.encode()).digest() if plain else None
-                keys.append(known[text])
-            if len(known) > REMEMBERED:
-                known = {None: None}
+                if text is None or text in known:
+                    keys.append(known.get(text))
+                    continue
+                plain = canonical_text(text)
+                known[text] = key = hashlib.md5(plain.encode()).digest() if plain else None
+                keys.append(key)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), batch.column(2)], ["rec", "p", "a"])
 
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("rec"), F.col(passage_col).cast("string").alias("text"), author_key(author_col, nobody).alias("a"))
@@ -122,8 +121,11 @@ def linked_groups(df: DataFrame, id_col: str = "rec_id", passage_col: str = "pas
     rooted = materialise(rooted, "rooted")
     smallest = rooted.groupBy("root").agg(F.min("m").alias("group_id"))
     of_pair = rooted.join(smallest, "root").select("p", "a", "group_id")
-    found = keys.join(of_pair, keys["p"].eqNullSafe(of_pair["p"]) & keys["a"].eqNullSafe(of_pair["a"]), "left")
-    return found.select(F.coalesce("group_id", "rec").alias("group_id"), F.col("rec").alias("rec_id")).groupBy("rec_id").agg(F.min("group_id").alias("group_id")).select("group_id", "rec_id")
+    linked = F.col("p").isNotNull() | F.col("a").isNotNull()
+    found = keys.where(linked).join(of_pair, keys["p"].eqNullSafe(of_pair["p"]) & keys["a"].eqNullSafe(of_pair["a"])).select("group_id", F.col("rec").alias("rec_id"))
+    # Records without passage and author would all meet at one key; they are groups of their own.
+    alone = keys.where(~linked).select(F.col("rec").alias("group_id"), F.col("rec").alias("rec_id"))
+    return found.unionByName(alone).groupBy("rec_id").agg(F.min("group_id").alias("group_id")).select("group_id", "rec_id")
 
 
 def split_groups(groups: DataFrame, shares: DataFrame, seed: int = 11) -> DataFrame:
