@@ -14,6 +14,7 @@ a text are ordinary text. Lone surrogates cannot occur in Parquet strings. Furth
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -23,16 +24,30 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from readq.llm.memo import Memo
+
 TOKENIZER_DIR = "/opt/tokenizers"
 #: How the tokenizer's publisher cuts texts into pieces.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: So many pieces are remembered by a worker before it starts anew; a bound on its memory, not on the texts.
-REMEMBERED = 400_000
+#: So many pairs of tokens are remembered by a worker before it starts anew; a bound on its memory, not on the texts.
+PAIRS = 1_600_000
+#: A larger vocabulary file is refused, as it is broadcast.
+MAX_BYTES = 64 << 20
+
+
+def read_vocabulary(path: str) -> bytes:
+    """The content of a vocabulary file, read by the driver; the workers get it with the job."""
+    file = Path(path)
+    if file.suffix != ".tiktoken" or not file.is_file():
+        raise ValueError(f"no byte-level vocabulary at {path}")
+    if file.stat().st_size > MAX_BYTES:
+        raise ValueError(f"the vocabulary at {path} has more than {MAX_BYTES} bytes")
+    return file.read_bytes()
 
 
-def load_ranks(path: str) -> dict[bytes, int]:
+def load_ranks(content: bytes) -> dict[bytes, int]:
     """Token bytes with their ids; the id is also the order of merging."""
-    return {base64.b64decode(t): int(n) for t, n in (line.split() for line in Path(path).read_bytes().splitlines() if line)}
+    return {base64.b64decode(t): int(n) for t, n in (line.split() for line in content.splitlines() if line)}
 
 
 class PrefixEncoder:
@@ -85,7 +100,7 @@ class PrefixEncoder:
                 limit, b = b + 1, b1  # of equal merges the one further left comes first
             else:
                 break
-        if len(self.fits) > 4 * REMEMBERED:
+        if len(self.fits) > PAIRS:
             self.fits.clear()
         self.fits[left, right] = stays
         return stays
@@ -125,16 +140,14 @@ class TextEncoder:
     """Texts to ids; pieces that were met before are looked up."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
-        self.encoder, self.split, self.seen = PrefixEncoder(ranks), regex.compile(pattern).findall, {}
+        self.encoder, self.split, self.seen = PrefixEncoder(ranks), regex.compile(pattern).findall, Memo()
 
     def pieces(self, text: str) -> list[list[int]]:
         seen, out = self.seen, []
-        if len(seen) > REMEMBERED:
-            seen.clear()
         for piece in self.split(text):
             ids = seen.get(piece)
             if ids is None:
-                ids = seen[piece] = self.encoder.encode_piece(piece.encode("utf-8"))
+                seen[piece] = ids = self.encoder.encode_piece(piece.encode("utf-8"))
             out.append(ids)
         return out
 
@@ -148,11 +161,12 @@ class TextEncoder:
 _encoders: dict[str, TextEncoder] = {}
 
 
-def encoder(path: str) -> TextEncoder:
-    """One encoder for each worker process and vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = TextEncoder(load_ranks(path))
-    return _encoders[path]
+def encoder(content: bytes) -> TextEncoder:
+    """One encoder for each worker process and vocabulary."""
+    name = hashlib.md5(content).hexdigest()
+    if name not in _encoders:
+        _encoders[name] = TextEncoder(load_ranks(content))
+    return _encoders[name]
 
 
 def vocabulary(name: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> str:
@@ -161,11 +175,11 @@ def vocabulary(name: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> str:
 
 def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """(id_col, ids ARRAY<INT>) of every row."""
-    path = path or vocabulary()
+    content = df.sparkSession.sparkContext.broadcast(read_vocabulary(path or vocabulary()))
     kind = dict(df.dtypes)[id_col]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = encoder(content.value)
         for batch in batches:
             values, ends = [], [0]
             for text in batch.column(1).to_pylist():
@@ -182,11 +196,11 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """(id_col, size INT) of every row: the number of ids."""
-    path = path or vocabulary()
+    content = df.sparkSession.sparkContext.broadcast(read_vocabulary(path or vocabulary()))
     kind = dict(df.dtypes)[id_col]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = encoder(content.value)
         for batch in batches:
             sizes = pa.array([own.count(t) for t in batch.column(1).to_pylist()], pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes], [id_col, "size"])

@@ -64,9 +64,9 @@ def _ledger(spark: SparkSession, d: str, batches: int = 3):
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    keys, ledger = _ledger(spark, d)
-    several = ledger.rows().where("copies > 1")
-    return keys.join(several, "key").where("line_id <> keep_id").select("keep_id", F.col("line_id").alias("dup_id"))
+    from readq.llm.formatting_duplicates import duplicate_lines
+
+    return duplicate_lines(*_ledger(spark, d))
 
 
 def p4_records(spark: SparkSession, d: str) -> DataFrame:

@@ -207,7 +207,11 @@ def test_ledger_counts_over_batches(spark):
     ledger.add(keys.where("line_id % 2 = 1"))
     ledger.add(keys.limit(0))
     assert sorted((r["copies"], r["keep_id"]) for r in ledger.rows().collect()) == [(1, 1), (1, 2), (6, 3)]
+    assert ledger.buckets == 4
     assert FD.CopyLedger(spark).rows().count() == 0
+    want = [(3, i) for i in range(4, 9)]
+    for hot in (1, 10_000):  # joined by key, and broadcast
+        assert sorted(tuple(r) for r in FD.duplicate_lines(keys, ledger, hot).collect()) == want
 
 
 # ---- 5: linked splits ----
@@ -356,6 +360,24 @@ def test_encoding_of_a_table(spark, reference):
     assert BE.encode_texts(df.limit(0)).count() == 0
 
 
+def test_vocabularies_that_cannot_be_used(spark):
+    with pytest.raises(ValueError):
+        BE.read_vocabulary(BE.vocabulary("no_such_one"))
+    with pytest.raises(ValueError):
+        BE.read_vocabulary(f"{BE.TOKENIZER_DIR}/word_bpe_49k.json")
+
+
+def test_memo_is_bounded_by_bytes():
+    from readq.llm.memo import Memo
+
+    memo = Memo(10_000)
+    for i in range(100):
+        memo[f"{i}" + "x" * 1000] = i
+        assert memo.used <= 10_000 and len(memo) < 6
+    memo["a", "b"] = 1
+    assert memo["a", "b"] == 1
+
+
 # ---- 9: containers ----
 
 
