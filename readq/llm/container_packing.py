@@ -22,27 +22,28 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Patterns of three items are enumerated for fillings up to this size (there are about its square / 12 of them), of two for any.
-TRIPLES_UP_TO = 1024
+#: Of a filling, about so many patterns of three items are enumerated: those whose smallest item is one of the commonest sizes.
+PATTERNS = 1_000_000
 #: Fillings smaller than this are not tried.
 LEAST_FILLING = 64
 #: A capacity above this is refused, as the plan is held by the driver.
 MAX_CAPACITY = 1 << 20
 
 
-def exact_patterns(sizes: np.ndarray, total: int) -> np.ndarray:
-    """Rows of three sizes (0: none) that add up to the total, each combination once; sizes: the ones there are."""
-    sizes = sizes[(sizes > 0) & (sizes <= total)]
+def exact_patterns(counts: np.ndarray, total: int) -> np.ndarray:
+    """Rows of three sizes (0: none) that add up to the total, each combination once. counts[s]: number of items of size s."""
+    sizes = np.flatnonzero(counts[: total + 1])
+    sizes = sizes[sizes > 0]
     there = np.zeros(total + 1, dtype=bool)
     there[sizes] = True
     first = sizes[(sizes * 2 <= total)]
     pairs = first[there[total - first]]
     rows = [np.stack([np.zeros_like(pairs), pairs, total - pairs], 1)]
-    if total <= TRIPLES_UP_TO:
-        for a in sizes[sizes * 3 <= total]:
-            b = sizes[(sizes >= a) & (sizes * 2 <= total - a)]
-            b = b[there[total - a - b]]
-            rows.append(np.stack([np.full_like(b, a), b, total - a - b], 1))
+    smallest = sizes[sizes * 3 <= total]
+    for a in smallest[np.argsort(-counts[smallest], kind="stable")][: max(1, PATTERNS // max(1, len(sizes)))]:
+        b = sizes[(sizes >= a) & (sizes * 2 <= total - a)]
+        b = b[there[total - a - b]]
+        rows.append(np.stack([np.full_like(b, a), b, total - a - b], 1))
     return np.concatenate(rows)
 
 
@@ -95,7 +96,7 @@ class PackingPlan:
     def _fit(self, part: int, times: int) -> None:
         """Fill parts exactly by fitted patterns; `times` of them make a container."""
         left = self._left()
-        patterns = exact_patterns(np.nonzero(left[: part + 1])[0], part)
+        patterns = exact_patterns(left, part)
         if left[part] and times == 1:  # an item as large as the container
             n = int(left[part])
             self._take(part, n, 1, 0, self.containers)
@@ -107,8 +108,7 @@ class PackingPlan:
             if fitted[i] < 1:
                 break
             sizes, mult = np.unique(patterns[i][patterns[i] > 0], return_counts=True)
-            left = self._left()
-            n = int(min(fitted[i], (left[sizes] // mult).min()))
+            n = int(min(fitted[i], ((self.there[sizes] - self.next[sizes]) // mult).min()))
             if n < 1:
                 continue
             if times == 1:
@@ -140,7 +140,7 @@ class PackingPlan:
 
         for size in np.nonzero(self._left())[0][::-1]:
             size = int(size)
-            while n := int(self._left()[size]):
+            while n := int(self.there[size] - self.next[size]):
                 at = bisect_left(rooms, size)
                 if at < len(rooms):
                     free = rooms[at]
