@@ -202,7 +202,7 @@ def test_ledger_counts_over_batches(spark):
             '{"source": "S", "answer": "", "question": "q", "difficulty": "easy!", "passage": "a​ B"}']
     other = [SOUND.replace("A b", "A c"), SOUND.replace("EASY", "HARD")]
     keys = FD.canonical_lines(clashing(lines(spark, other + same + same)))
-    ledger = FD.CopyLedger(spark, buckets=3)
+    ledger = FD.CopyLedger(spark, bucket_keys=1)
     ledger.add(keys.where("line_id % 2 = 0"))
     ledger.add(keys.where("line_id % 2 = 1"))
     ledger.add(keys.limit(0))
@@ -331,7 +331,7 @@ def test_levels(spark):
 @pytest.fixture(scope="module")
 def reference():
     tiktoken = pytest.importorskip("tiktoken")
-    ranks = BE.load_ranks(BE.vocabulary())
+    ranks = BE.load_ranks(BE.read_vocabulary(BE.vocabulary()))
     return BE.TextEncoder(ranks), tiktoken.Encoding("own", pat_str=BE.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
