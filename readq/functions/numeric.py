@@ -19,10 +19,11 @@ def md5_mod(col: Column | str, m: int) -> Column:
     return rest
 
 
-def hash_split(col: Column | str, train: float = 0.8, val: float = 0.1) -> Column:
-    """train, val or test by the text's bucket among 100."""
-    if not 0.99 <= train + val <= 1.01 and not 0 <= train + val <= 1:
-        raise ValueError("the shares must lie between 0 and 1")
+def hash_split(col: Column | str, train: float = 0.8, val: float = 0.1, test: float | None = None) -> Column:
+    """train, val or test by the text's bucket among 100. test: what the others leave, if not given; the three sum to 1 within 0.01."""
+    test = 1 - train - val if test is None else test
+    if min(train, val) < 0 or test < -0.01 or abs(train + val + test - 1) > 0.01:
+        raise ValueError("three shares that are not negative and sum to 1 are wanted")
     bucket = md5_mod(col, 100)
     return F.when(bucket < train * 100, "train").when(bucket < (train + val) * 100, "val").when(bucket.isNotNull(), "test")
 
@@ -74,3 +75,23 @@ def frequency_band(freq: Column | str, lang: str = "en") -> Column:
     for band, least in reversed(ends.items()):
         out = F.when(_c(freq) >= least, band).otherwise(out)
     return F.when(_c(freq) > 0, out)
+
+
+def round_binary(x: Column, digits: int) -> Column:
+    """The double rounded to so many digits as its exact binary value asks for; a true tie goes to the even digit. Spark's own functions
+    round the shortest decimal that stands for the double, so 2.675 gives 2.68 there and 2.67 here."""
+    scale = float(10**digits)
+    p = x * scale
+    # The error of the product, exactly: the double in two halves of 26 bits (Veltkamp), times a small whole number.
+    wide = x * 134217729.0
+    high = wide - (wide - x)
+    error = (high * scale - p) + (x - high) * scale
+    low = F.floor(p)
+    tie = p - low == 0.5
+    return F.when(tie & (error > 0), (low + 1) / scale).when(tie & (error < 0), low / scale).otherwise(F.rint(p) / scale)
+
+
+def argmax(a: Column | str) -> Column:
+    """The place, from 0, of the first largest number of an array; null for null and empty arrays."""
+    at = F.array_position(_c(a), F.array_max(_c(a)))
+    return F.when(F.size(_c(a)) > 0, (at - 1).cast("int"))

@@ -234,3 +234,49 @@ def label_ordinal(col: Column | str) -> Column:
 def contains_text(passage: Column | str, answer: Column | str) -> Column:
     """Whether the answer stands in the passage, without regard to case; an empty answer always does."""
     return F.contains(F.lower(_c(passage)), F.lower(_c(answer)))
+
+
+def level_score(level: Column | str) -> Column:
+    """The level's place on the scale, from 0 to 1; a word that is no level counts as the lowest."""
+    return F.greatest(F.coalesce(level_ordinal(level), F.lit(0)), F.lit(0)) / float(len(LEVELS) - 1)
+
+
+def student_level(right: Column | str) -> Column:
+    """The level of a question by how many of three readers of different strength answer it: all EASY, two MEDIUM, fewer HARD."""
+    right = _c(right)
+    return F.when(right >= 3, "EASY").when(right == 2, "MEDIUM").when(right.isNotNull(), "HARD")
+
+
+def in_either(a: Column, b: Column) -> Column:
+    """Whether one text, without case, holds the other."""
+    a, b = F.lower(a), F.lower(b)
+    return F.contains(a, b) | F.contains(b, a)
+
+
+def detected_language(col: Column | str, known: dict[str, tuple[str, ...]] | None = None, default: str = "en") -> Column:
+    """The language whose commonest words are the most among the text's words; the default for texts without any, ties and null."""
+    known = known or COMMON_WORDS
+    words = F.regexp_extract_all(F.lower(_c(col)), F.lit(r"(\p{L}+)"), 1)
+    met = lambda w, common: F.size(F.filter(w, lambda x: x.isin(*common)))
+    out = let(words, lambda w: let(F.array(*[met(w, common) for common in known.values()]), lambda n: _most(n, list(known), default)))
+    return F.coalesce(out, F.lit(default))
+
+
+def _most(n: Column, names: list[str], default: str) -> Column:
+    top = F.array_max(n)
+    once = F.size(F.filter(n, lambda x: x == top)) == 1
+    return F.when((top > 0) & once, F.element_at(F.array(*[F.lit(x) for x in names]), F.array_position(n, top).cast("int"))).otherwise(default)
+
+
+#: Common words by which English and Finnish are told apart.
+COMMON_WORDS = {
+    "en": ("the", "of", "and", "to", "in", "was", "that", "it", "for", "is", "with", "as", "his", "he", "by", "at", "from", "on", "this", "are"),
+    "fi": ("ja", "on", "oli", "ei", "että", "se", "hän", "mutta", "kun", "joka", "myös", "kuin", "ovat", "sen", "olivat", "niin", "jos", "mitä", "tai", "sekä"),
+}
+
+
+def number_row(label: str, values: list[Column], form: str = "%8.1f", width: int = 16) -> Column:
+    """A line of a table: the label padded to a width, then the numbers in their form; null and NaN as a dash of the same width."""
+    size = int(re.sub(r"\D*(\d+).*", r"\1", form) or 8)
+    shown = [F.when(v.isNull() | F.isnan(v.cast("double")), F.lpad(F.lit("-"), size, " ")).otherwise(F.format_string(form, v.cast("double"))) for v in values]
+    return F.concat(F.rpad(F.lit(label), width, " "), *[x for v in shown for x in (F.lit(" "), v)])

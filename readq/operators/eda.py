@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from readq.functions.numeric import round_binary
+
 
 def describe(df: DataFrame, group: str, value: Column) -> DataFrame:
     """count, mean and the linear percentiles 5, 25, 50, 75, 95 of a value for each group. Percentiles are exact: they are found from
@@ -34,3 +36,24 @@ def group_sizes(df: DataFrame, group: str, member: str) -> DataFrame:
     """(groups, members, singles, largest, mean_size): how many different members each group has."""
     sizes = df.where(F.col(group).isNotNull() & F.col(member).isNotNull()).select(group, member).distinct().groupBy(F.md5(group).alias("g")).agg(F.count("*").alias("n"))
     return sizes.agg(F.count("*").alias("groups"), F.sum("n").alias("members"), F.count(F.when(F.col("n") == 1, 1)).alias("singles"), F.max("n").alias("largest"), F.avg("n").alias("mean_size"))
+
+
+def stats_block(df: DataFrame, group: str, value: Column) -> DataFrame:
+    """(group, count, min, median, mean, p75, p90, max) to one decimal: the middle value, or the mean of the two; p75 and p90 by nearest rank."""
+    ranks = nearest_rank(df, group, value)
+    rows = df.select(F.col(group), value.alias("v")).where("v IS NOT NULL").groupBy(group, "v").agg(F.count("*").alias("n"))
+    middle = rows.groupBy(group).agg(F.expr("percentile(v, 0.5, n)").alias("median"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"))
+    shown = [round_binary(F.col(c).cast("double"), 1).alias(c) for c in ("min", "median", "mean", "p75", "p90", "max")]
+    return ranks.join(middle.withColumnRenamed(group, "__group"), F.col(group).eqNullSafe(F.col("__group"))).select(group, "count", *shown)
+
+
+def small_numbers(df: DataFrame, group: str, value: Column, share: Column) -> DataFrame:
+    """(group, min, max, mean, percent): of a small whole number, and of a share in whole percents, cut off towards 0, the mean."""
+    rows = df.select(F.col(group), value.alias("v"), share.alias("s"))
+    return rows.groupBy(group).agg(F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.avg((F.col("s") * 100).cast("int")).alias("percent"))
+
+
+def best_epoch(df: DataFrame, epoch: str = "epoch", score: str = "score") -> DataFrame:
+    """(epoch, score): the epoch of the best score, the first of equal ones; no row if no epoch has a score."""
+    best = F.max_by(F.struct(epoch, score), F.struct(score, -F.col(epoch))).alias("b")
+    return df.where(F.col(score).isNotNull() & ~F.isnan(score)).agg(best).where("b IS NOT NULL").select("b.*")

@@ -78,3 +78,9 @@ def cascade_label(score: str = "qa_cascade_diff"):
     two of three (0.6667) is easy."""
     c = F.col(score)
     return F.when(c <= 1 / 3, "hard").when(c <= 2 / 3, "medium").when(c.isNotNull(), "easy")
+
+
+def join_predictions(truth: DataFrame, predicted: DataFrame, key: str, label: str = "label", pred: str = "pred") -> DataFrame:
+    """(key, truth, pred) of the items that both tables hold; an item listed again counts with its lowest label."""
+    a = truth.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(label).alias("truth"))
+    return a.join(predicted.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(pred).alias("pred")), key)

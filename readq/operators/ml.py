@@ -55,3 +55,12 @@ def leaderboard(reports: dict[str, DataFrame]) -> DataFrame:
         for name, r in reports.items()
     ]
     return reduce(DataFrame.unionByName, rows).orderBy(F.desc("macro_f1"), "model")
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    """Write a fitted model, in place of one that may be there."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)

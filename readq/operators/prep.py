@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from readq.functions import nested as N
 from readq.functions import text as T
@@ -48,6 +49,61 @@ def squad_records(df: DataFrame) -> DataFrame:
     return out.where(_filled("answer"))
 
 
+def tydi_records(df: DataFrame) -> DataFrame:
+    """Extractive questions in many languages; the id begins with the language's name: english and finnish have their codes, any other the
+    name's first two letters."""
+    name = F.substring_index("id", "--", 1)
+    lang = F.when(name == "english", "en").when(name == "finnish", "fi").otherwise(F.substring(name, 1, 2))
+    return squad_records(df).withColumn("lang", lang)
+
+
+def nq_nested_records(df: DataFrame) -> DataFrame:
+    """Open questions in their nested form: of the annotations, the first with a short answer and a long one; the long one's tokens that
+    are no HTML are the passage, and answer_start is where the answer is found in it, or 0.
+
+    Input: id, question.text, document.tokens (token, html_token: arrays), long_answer_candidates (array of start_token, end_token),
+    annotations (long_answer: array of candidate_index; short_answers: array of text: array).
+    """
+    each = F.arrays_zip(F.col("annotations.long_answer").alias("long"), F.col("annotations.short_answers").alias("short"))
+    first = F.get(F.filter(each, lambda x: (F.size(x["short"]["text"]) > 0) & (x["long"]["candidate_index"] != -1)), 0)
+    rows = df.select(F.col("id").cast("string").alias("id"), F.col("question.text").alias("question"), "document", "long_answer_candidates", first.alias("x"))
+    rows = rows.select("id", "question", "document", F.get("long_answer_candidates", F.col("x.long.candidate_index")).alias("c"), F.get(F.col("x.short.text"), 0).alias("answer"))
+    tokens = F.slice(F.arrays_zip(F.col("document.tokens.token").alias("t"), F.col("document.tokens.html_token").alias("h")), F.col("c.start_token") + 1, F.greatest(F.lit(0), F.col("c.end_token") - F.col("c.start_token")))
+    passage = F.array_join(F.transform(F.filter(tokens, lambda x: ~x["h"]), lambda x: x["t"]), " ")
+    out = rows.where("c IS NOT NULL").select("id", passage.alias("passage"), "question", "answer").where("passage <> '' AND answer <> ''")
+    return out.select("*", F.greatest(F.instr("passage", F.col("answer")) - 1, F.lit(0)).alias("answer_start"), F.lit("en").alias("lang"))
+
+
+def multirc_any(df: DataFrame, with_focus: bool = True) -> DataFrame:
+    """MultiRC in its nested form (paragraph: text, questions), or, if the rows are flat (ord, paragraph, question, one for each answer), as
+    questions without focus, so that with_focus gives none."""
+    if isinstance(df.schema["paragraph"].dataType, StructType):
+        if with_focus:
+            return multirc_records(df)
+        q = df.select("ord", F.col("paragraph.text").alias("passage"), F.posexplode("paragraph.questions").alias("q_ord", "q")).select("ord", "q_ord", "passage", F.col("q.question").alias("question"), F.lit("multirc").alias("source"))
+    else:
+        q = df.select("ord", F.lit(0).alias("q_ord"), F.col("paragraph").alias("passage"), "question", F.lit("multirc_sg").alias("source")).where(F.lit(not with_focus))
+    key = F.concat(F.substring("passage", 1, 80), F.lit("||"), F.col("question"))
+    return keep_first(q.withColumn("key", key), ["key"], ["ord", "q_ord"]).drop("key")
+
+
+def curriculum_label(df: DataFrame, label: str = "curriculum_difficulty", default: str = "EASY") -> Column:
+    """The record's own label for the curriculum; the default where it is null or the table has none."""
+    return F.coalesce(F.col(label), F.lit(default)) if label in df.columns else F.lit(default)
+
+
+def copy_with(df: DataFrame, keep: tuple[str, ...], **new: Column) -> DataFrame:
+    """Of the columns named those that there are, and new ones in their place or beside them."""
+    return df.select(*[c for c in keep if c in df.columns and c not in new], *[v.alias(k) for k, v in new.items()])
+
+
+def shown_answer(answer: str = "answer", answers: str = "answer_list", facts: str = "answer_facts") -> Column:
+    """What a report shows as the answer: the only fact, or the number of facts; else the answers of a list, else the answer."""
+    n = F.coalesce(F.size(facts), F.lit(0))
+    listed = F.when(F.size(answers) > 0, F.array_join(answers, " / "))
+    return F.when(n == 1, F.get(facts, 0)).when(n > 1, F.concat(F.lit("("), n.cast("string"), F.lit(" events, see below)"))).otherwise(F.coalesce(listed, F.col(answer)))
+
+
 def nq_records(df: DataFrame) -> DataFrame:
     """Open questions with a long answer's tokens as passage and the first short answer; HTML marks are left out.
 
@@ -62,6 +118,7 @@ def nq_records(df: DataFrame) -> DataFrame:
     return rows.select(span("long_start", "long_end").alias("passage"), "question", span("short_start", "short_end").alias("answer"), F.lit("nq").alias("source")).where(_filled("passage", "answer"))
 
 
+# The words of the prompts.
 def step_prompt(step: str, passage: Column, difficulty: Column | None = None, focus: Column | None = None) -> Column:
     """The input text of a curriculum step."""
     parts: dict[str, list] = {
@@ -110,6 +167,12 @@ def keep_first(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(first).select(*key, "r.*").select(*df.columns)
 
 
+def keep_last(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The last row of each key in the order, by an aggregation as in keep_first."""
+    rest = [c for c in df.columns if c not in key]
+    return df.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*key, "r.*").select(*df.columns)
+
+
 def first_per_group(df: DataFrame, group: list[str], order: list[str | Column], n: int) -> DataFrame:
     """The first n rows of each group. Each task keeps its own first n of a group before the shuffle (Spark's window group limit)."""
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
@@ -133,3 +196,8 @@ def drop_counts(df: DataFrame, longest: int = 2000, least_triples: int = 2, by:
     return df.where("passage IS NOT NULL").groupBy(by).agg(
         F.count("*").alias("n_in"), F.count(F.when(long, one)).alias("too_long"), F.count(F.when(~long & few, one)).alias("too_few"), F.count(F.when(~long & ~few, one)).alias("kept")
     )
+
+
+def least_demand(df: DataFrame, least: float, judged: str = "llm_diff_judge") -> DataFrame:
+    """Records of which the first judge finds the question at least so demanding; no judge or no score counts as 0."""
+    return df.where(F.coalesce(N.first_value(judged)["question_cognitive_diff"], F.lit(0.0)) >= least)

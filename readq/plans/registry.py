@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readq.plans import graph_queries, record_queries, text_queries
+from readq.plans import graph_queries, record_queries, source_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (text_queries, graph_queries, record_queries)
+MODULES = (text_queries, graph_queries, record_queries, source_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

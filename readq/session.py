@@ -34,9 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares between executors. It is a folder of this machine only where the session names none."""
+    """The folder that the cluster shares between executors. Only a local session that names none gets a folder of this machine."""
     path = spark.conf.get(CHECKPOINT_KEY, None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
         path = "file://" + os.path.join(tempfile.gettempdir(), "readq-shared")
         spark.conf.set(CHECKPOINT_KEY, path)
     return path.rstrip("/")
