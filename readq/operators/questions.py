@@ -246,7 +246,7 @@ def comparison_questions(facts: DataFrame, lang: str = "en") -> DataFrame:
 
 
 def chain_questions(facts: DataFrame, lang: str = "en") -> DataFrame:
-    """Two edges in a row over a person, asked through the role the first one gives the person."""
+    """Two edges in a row over a person, asked through the role the first one gives the person; as local as the second edge."""
     one = facts.select("doc_id", F.col("src").alias("start"), F.col("dst").alias("src"), F.col("relation").alias("r1"), F.col("dst_type").alias("bridge_type"), F.col("edge_ord").alias("o1"))
     one = one.withColumn("noun", _word(L.TABLES[lang][3], base_of("r1"))).where(F.col("noun").isNotNull() & F.col("bridge_type").isin(*G.PERSON) & (F.col("start") != F.col("src")))
     rows = one.join(facts, ["doc_id", "src"]).where((F.col("dst") != F.col("src")) & (F.col("dst") != F.col("start")) & F.col("dst_type").isNotNull())
@@ -256,7 +256,7 @@ def chain_questions(facts: DataFrame, lang: str = "en") -> DataFrame:
     text = F.when(F.col("is_passive"), F.concat(word, F.lit(" was "), role, F.lit(" "), vt, F.lit("?"))).otherwise(F.concat(word, F.lit(" did "), role, F.lit(" "), base_of("relation"), F.lit("?")))
     if lang == "fi":
         text = _line(word, F.concat("src", F.lit("n")), "$noun", vt)
-    return _shape(rows, "chain", text, F.col("dst"), F.col("dst_type"), _order(0), s_local=F.lit(0.15), passive=F.col("is_passive"), hops=2, s_vocab=D.vocab_score(F.col("is_passive"), F.lit("chain")))
+    return _shape(rows, "chain", text, F.col("dst"), F.col("dst_type"), _order(0), s_local=F.coalesce("s_local", F.lit(0.15)), passive=F.col("is_passive"), hops=2)
 
 
 def _events(rows: DataFrame, *keys: str) -> DataFrame:

@@ -243,3 +243,26 @@ def test_verb_variants(spark):
     vectors = spark.createDataFrame([("run", [1.0, 0.0], True), ("walk", [0.9, 0.1], False), ("tree", [0.0, 1.0], False)], "word STRING, vec ARRAY<DOUBLE>, is_verb BOOLEAN")
     freqs = spark.createDataFrame([("walk", 0.0005), ("tree", 0.1)], "word STRING, freq DOUBLE")
     assert [(r["verb"], r["other"], r["band"]) for r in variants.verb_neighbours(vectors, freqs).collect()] == [("run", "walk", "A2")]
+
+
+def _facts_of(spark, rows):
+    """Triples of one document: (subject, type, relation, object, type, source, depths)."""
+    cols = "doc_id BIGINT, ord INT, subject STRING, subject_type STRING, relation STRING, object STRING, object_type STRING, source STRING, verb_text STRING, is_passive BOOLEAN, object_surface STRING, object_case STRING, sentence_idx INT, coref_distance INT, source_depth INT, answer_depth INT"
+    return Q.fact_table(spark.createDataFrame([(1, i, s, st, r, o, ot, src, v, p, "", "", 0, c, 0, 0) for i, (s, st, r, o, ot, src, v, p, c) in enumerate(rows)], cols))
+
+
+def test_comparisons_by_year(spark):
+    told = "Ann built Alpha in 1901."
+    later = "Ann built Beta in 1950."
+    facts = _facts_of(spark, [
+        ("Ann", "PERSON", "build", "Alpha", "ORG", told, "built", False, 0), ("Ann", "PERSON", "build_in", "1901", "DATE", told, "built", False, 0),
+        ("Ann", "PERSON", "build", "Beta", "ORG", later, "built", False, 0), ("Ann", "PERSON", "build_in", "1950", "DATE", later, "built", False, 0),
+    ])
+    got = {r["text"]: r["answer"] for r in Q.comparison_questions(facts).collect()}
+    assert got == {"Which was built earlier, Alpha or Beta?": "Alpha", "Which was built later, Alpha or Beta?": "Beta"}
+
+
+def test_chains_are_as_local_as_their_second_edge(spark):
+    facts = _facts_of(spark, [("Acme", "ORG", "found", "Ann", "PERSON", "s", "founded", False, 0), ("Ann", "PERSON", "move_to", "Oslo", "GPE", "s", "moved", True, 3)])
+    rows = Q.chain_questions(facts).collect()
+    assert rows and all(abs(r["s_local"] - 1 / 3) < 1e-9 and r["s_vocab"] == 0.0 and r["hop_count"] == 2 for r in rows)
