@@ -13,8 +13,8 @@ FEATURES = (
 )
 #: Words rarer than this count as rare.
 RARE_ZIPF = 3.0
-#: A word table of up to so many rows becomes a map literal in the plan; a larger one is joined.
-MAP_ROWS = 20_000
+#: A word table of up to so many rows is broadcast; a larger one is joined by word.
+MAP_ROWS = 200_000
 
 
 def _ratio(numerator: Column, n: Column) -> Column:
@@ -69,10 +69,37 @@ def zipf_stats(df: DataFrame, id_col: str, text_col: str, words: DataFrame) -> D
 
 
 def feature_table(df: DataFrame, words: DataFrame, id_col: str = "rec_id") -> DataFrame:
-    """One row for each record with all features in their order."""
-    out = text_features(df)
-    for short, col in (("q", "question"), ("p", "passage"), ("a", "answer")):
-        stats = zipf_stats(df, id_col, col, words).withColumnRenamed("avg_zipf", f"{short}_avg_zipf")
-        stats = stats.withColumnRenamed("frac_rare", "q_frac_rare").drop("n_words") if short == "q" else stats.drop("n_words", "frac_rare")
-        out = out.join(stats, id_col)
-    return out.select(id_col, *FEATURES)
+    """One row for each record with all features in their order; ids are to be unique, a null id gives no row.
+
+    With a small word table the words of all three texts meet it at once, and one aggregation by id brings each record together
+    again: it is combined before the shuffle, where the rows of a record still lie together, so one row for each record is shuffled.
+    """
+    out = text_features(df.where(F.col(id_col).isNotNull()))
+    if words.limit(MAP_ROWS + 1).count() > MAP_ROWS:
+        for short, col in (("q", "question"), ("p", "passage"), ("a", "answer")):
+            stats = zipf_stats(df, id_col, col, words).withColumnRenamed("avg_zipf", f"{short}_avg_zipf")
+            stats = stats.withColumnRenamed("frac_rare", "q_frac_rare").drop("n_words") if short == "q" else stats.drop("n_words", "frac_rare")
+            out = out.join(stats, id_col)
+        return out.select(id_col, *FEATURES)
+    plain = [c for c in FEATURES if "zipf" not in c and c != "q_frac_rare"]
+    fields = {"q": "question", "p": "passage", "a": "answer"}
+
+    def named(field: str, col: str) -> Column:
+        return F.transform(F.coalesce(T.tokens(col), F.array().cast("array<string>")), lambda w: F.struct(F.lit(field).alias("field"), w.alias("word")))
+
+    each = F.concat(*[named(k, c) for k, c in fields.items()])
+    rows = out.select(id_col, *plain, F.explode_outer(each).alias("x")).select(id_col, *plain, "x.field", "x.word")
+    # Millionths as whole numbers, so that the sum does not depend on the order of its parts.
+    known = words.select("word", (F.col("zipf").cast("decimal(12,6)") * 1_000_000).cast("bigint").alias("__zipf"))
+    rows = rows.join(F.broadcast(known), "word", "left")
+    counted = F.col("word").isNotNull() & ~F.contains(F.coalesce("word", F.lit("")), F.lit("'"))
+    z = F.coalesce("__zipf", F.lit(0))
+    sums = []
+    for k in fields:
+        here = counted & (F.col("field") == k)
+        sums += [F.sum(F.when(here, 1).otherwise(0)).alias(f"__n_{k}"), F.sum(F.when(here, z).otherwise(0)).alias(f"__z_{k}")]
+    rare = F.sum(F.when(counted & (F.col("field") == "q") & (z < int(RARE_ZIPF * 1_000_000)), 1).otherwise(0)).alias("__rare")
+    got = rows.groupBy(id_col).agg(*[F.first(c).alias(c) for c in plain], *sums, rare)
+    for k in fields:
+        got = got.withColumn(f"{k}_avg_zipf", _ratio(F.col(f"__z_{k}") / 1_000_000, F.col(f"__n_{k}")))
+    return got.withColumn("q_frac_rare", _ratio(F.col("__rare"), F.col("__n_q"))).select(id_col, *FEATURES)

@@ -17,8 +17,9 @@ _q = "'" + "','".join(T.STOPWORDS) + "'"
 
 
 def records(spark: SparkSession, d: str, *cols: str) -> DataFrame:
-    """The records of qde, each id once, with only the columns asked for."""
-    return table(spark, d, "qde").select("rec_id", *cols).dropDuplicates(["rec_id"])
+    """The records of qde, each id once as first delivered, with only the columns asked for."""
+    rows = table(spark, d, "qde").select("rec_id", *cols, F.col("loaded_at").alias("__at"))
+    return P.keep_first(rows, ["rec_id"], ["__at", *cols]).drop("__at")
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
