@@ -18,8 +18,12 @@ def verb_neighbours(vectors: DataFrame, freqs: DataFrame, lang: str = "en", leas
     vectors: (word, vec, is_verb); the verbs are the stated queries, compared with all words block by block."""
     from readq.operators.embeddings import nearest
 
-    rows = vectors.select(F.col("word").alias("id"), F.col("vec").alias("embedding"))
-    near = nearest(rows, vectors.where("is_verb").select(F.col("word").alias("id"), F.col("vec").alias("embedding")), n=n, least=least)
+    # The search knows rows by numbers: a hash of 64 bits stands for the word.
+    keyed = vectors.select(F.xxhash64("word").alias("id"), "word", F.col("vec").alias("embedding"), "is_verb")
+    near = nearest(keyed, keyed.where("is_verb"), n=n, least=least)
+    words = keyed.groupBy("id").agg(F.min("word").alias("word"))
+    near = near.join(words.withColumnRenamed("word", "__other"), "id").join(words.select(F.col("id").alias("query_id"), F.col("word").alias("__verb")), "query_id")
+    near = near.select(F.col("__verb").alias("query_id"), F.col("__other").alias("id"), "similarity")
     bands = freqs.groupBy(F.lower("word").alias("other")).agg(M.frequency_band(F.max("freq"), lang).alias("band"))
     return near.select(F.col("query_id").alias("verb"), F.col("id").alias("other"), "similarity").join(bands, "other").where("band IS NOT NULL")
 

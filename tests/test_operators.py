@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -155,6 +156,24 @@ def test_embeddings(spark):
     assert V.triplet_losses(V.triplets(df), df).count() == 4
 
 
+def test_neighbours_without_length_and_repeats(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [1.0]), (None, [1.0, 0.0]), (6, [-1.0, 0.0])], "id BIGINT, embedding ARRAY<DOUBLE>")
+    got = {(r["query_id"], r["id"]): r["similarity"] for r in V.nearest(df, df.where("id IN (1, 3)"), n=9).collect()}
+    assert got == {(1, 2): 1.0, (1, 6): -1.0}
+    assert V.nearest(df, df.limit(0)).count() == 0 and V.VectorIndex(df.limit(0)).search(df).count() == 0
+
+
+def test_index_finds_most_neighbours(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(30, 24))
+    vectors = centres[rng.integers(0, 30, 3000)] + 0.6 * rng.normal(size=(3000, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id BIGINT, embedding ARRAY<DOUBLE>")
+    index = V.VectorIndex(df, cells=32)
+    assert index.rows.count() == 3000
+    assert index.recall(df, df.where("id % 50 = 0"), n=10, probes=8) >= 0.9
+    assert index.recall(df, df.where("id % 50 = 0"), n=10, probes=32) == 1.0
+
+
 def test_mixed_triplets(spark):
     df = spark.range(300).select("id", F.element_at(F.array(F.lit("EASY"), F.lit("MEDIUM"), F.lit("HARD")), (F.col("id") % 3 + 1).cast("int")).alias("label"))
     same, ordinal, mixed = ({r["anchor"]: (r["positive"], r["negative"]) for r in V.triplets(df, mode=m).collect()} for m in ("same_class", "ordinal", "mixed"))
