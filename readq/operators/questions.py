@@ -21,6 +21,8 @@ from readq.session import materialise
 #: kind_no is the place of the kind when all are put together; ord the place of the question within its kind.
 QUESTION = ("doc_id", "kind", "kind_no", "ord", "text", "answer", "answer_type", "answer_list", "hop_count", "is_passive", "s_type", "s_local", "s_vocab", "fixed_level")
 KINDS = ("object", "subject", "aggregation", "true_claim", "false_claim", "which", "count", "comparison", "chain", "subgraph", "pair_subgraph", "chain_subgraph", "bridge")
+#: So many names of a type are tried for a false claim before all others are.
+FIRST_NAMES = 8
 PLACE = {"object": 0, "subject": 0, "aggregation": 0, "true_claim": 1, "false_claim": 1, "which": 2, "count": 3, "comparison": 4, "chain": 5, "subgraph": 6, "pair_subgraph": 7, "chain_subgraph": 8, "bridge": 9}
 
 
@@ -182,12 +184,20 @@ def false_claims(facts: DataFrame, triples: DataFrame, lang: str = "en", least_d
     claims = _claims(facts).where((F.col("source") != "") & F.col("dst_type").isin(*L.DISTRACTOR_TYPES))
     names = G.nodes(triples).join(G.degrees(triples).where(F.col("degree") >= least_degree), ["doc_id", "node"])
     names = names.select("doc_id", F.col("node").alias("other"), F.col("entity_type").alias("dst_type"), "degree", "node_ord")
-    pairs = claims.join(names, ["doc_id", "dst_type"]).where((F.col("other") != F.col("dst")) & (F.col("other") != F.col("src")))
-    mentioned = F.exists(F.filter(F.split("other", r"\s+"), lambda w: w != ""), lambda w: F.contains(F.col("source"), w))
+    names = names.withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "dst_type").orderBy(F.desc("degree"), "node_ord")))
     known = facts.select("doc_id", "src", "relation", F.col("dst").alias("other")).distinct()
-    pairs = pairs.where(~mentioned).join(known, ["doc_id", "src", "relation", "other"], "left_anti")
-    best = F.row_number().over(Window.partitionBy("doc_id", "ord").orderBy(F.desc("degree"), "node_ord"))
-    chosen = pairs.withColumn("best", best).where("best = 1")
+
+    def best(asked: DataFrame, among: DataFrame) -> DataFrame:
+        pairs = asked.join(among, ["doc_id", "dst_type"]).where((F.col("other") != F.col("dst")) & (F.col("other") != F.col("src")))
+        mentioned = F.exists(F.filter(F.split("other", r"\s+"), lambda w: w != ""), lambda w: F.contains(F.col("source"), w))
+        pairs = pairs.where(~mentioned).join(known, ["doc_id", "src", "relation", "other"], "left_anti")
+        return pairs.withColumn("best", F.row_number().over(Window.partitionBy("doc_id", "ord").orderBy("place"))).where("best = 1").select(*claims.columns, "other")
+
+    # The first names of a type serve nearly every claim; only claims that all of them fail meet the others, so the claims and
+    # names of a large document do not all meet.
+    first = materialise(best(claims, names.where(F.col("place") <= FIRST_NAMES)), "claims")
+    many = names.where(F.col("place") > FIRST_NAMES)
+    chosen = first.unionByName(best(claims.join(first.select("doc_id", "ord"), ["doc_id", "ord"], "left_anti"), many))
     return _shape(chosen, "false_claim", _yesno(F.col("other"), lang), F.lit("No"), F.lit(None).cast("string"), _order(1), s_local=F.col("s_local"), passive=F.col("is_passive"))
 
 
