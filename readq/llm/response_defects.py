@@ -83,7 +83,7 @@ _STOP = re.compile(r"[.!?…;:。,\r\n]+[\"'”»’)\]]*(?!\S)")
 #: Words of ASCII texts are found without a pattern: blanks for all but letters, digits and apostrophes, after those outside of words are gone.
 _PLAIN = {i: chr(i) if chr(i).isalnum() or i == 39 else " " for i in range(128)}
 _LOOSE = re.compile(r"(?<![^\W_])'|'(?![^\W_])")
-_FEATURES = 29
+_FEATURES = 31
 
 
 def clean(text: str) -> str:
@@ -223,7 +223,7 @@ class Setting:
                     1.0, n <= 2, n >= 5, i == 0, last,
                     echo, echo * repeats, echo > 0.85 and repeats > 0.85, repeats > 0.9 and in_order >= 0.8 * len(aw),
                     max(-1.5, min(1.5, total / 10)), tales > 3, total / n / 4, total > 6 and tales < -3 and not quoted, total > 3, total > 3 and tales < 0 and not quoted,
-                    quoted, w[0] in names and cues[0] <= 0, of_first,
+                    quoted, w[0] in names and cues[0] <= 0, of_first, i == 0 and cues[0] > 0.5, i == 0 and cues[0] <= 0 and c[:1].isupper() and w[0] not in self.ends,
                     gap if k >= 8 else 0.0, gap > 0.3 and k >= 8, gap > 0.15 and k >= 20, q_n < 15,
                     last and broken, last and mid, last and answer.endswith(("...", "…", "-", "–")) and not whole, last and answer.endswith((",", ";", ":")),
                     last and end < -2.0 and n + i >= 3, whole, inside,
