@@ -11,24 +11,18 @@ from pyspark.sql import functions as F
 def annotate_stream(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, work: Callable[[DataFrame], DataFrame], key: str, fmt: str = "parquet", per_batch: int = 8) -> int:
     """Run over all files of the source that earlier runs have not seen, and return the number of batches of this run.
 
-    Rows whose key is in the target already are left out by an anti-join, so a batch that is repeated after a failure adds nothing
-    twice: it overwrites the folder of its own number.
+    A key is worked on once, in the batch it comes first in: the keys met are the stream's state, kept beside the checkpoint and read by
+    key, so a batch costs what it holds and not what came before it. With very many keys the session is to keep state in RocksDB
+    (spark.sql.streaming.stateStore.providerClass). A batch that is repeated after a failure overwrites the folder of its own number.
     """
     done = {"n": 0}
 
     def batch(df: DataFrame, number: int) -> None:
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(target)
-        fs = path.getFileSystem(conf)
-        others = [str(s.getPath()) for s in fs.listStatus(path) if s.getPath().getName() != f"batch={number}" and s.getPath().getName().startswith("batch=")] if fs.exists(path) else []
-        fresh = df.dropDuplicates([key])
-        if others:
-            fresh = fresh.join(spark.read.parquet(*others).select(key), key, "left_anti")
-        work(fresh).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        work(df).write.mode("overwrite").parquet(f"{target}/batch={number}")
         done["n"] += 1
 
     query = (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).format(fmt).load(source)
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).format(fmt).load(source).dropDuplicates([key])
         .writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
