@@ -16,6 +16,10 @@ PERSON = ("PERSON", "PER")
 PRONOUNS = {"en": ("she", "he", "they", "it", "her", "him", "them", "we"), "fi": ("hän", "he", "se", "me")}
 
 
+#: Mentions of a document are worked on in chunks of so many places.
+CHUNK = 10_000
+
+
 def valid_triples(triples: DataFrame) -> DataFrame:
     """Triples with a subject, a relation and an object."""
     return triples.where("doc_id IS NOT NULL AND ord IS NOT NULL AND trim(subject) <> '' AND trim(relation) <> '' AND trim(object) <> ''")
@@ -81,6 +85,20 @@ def siblings(edge_table: DataFrame, by: str = "dst_type") -> DataFrame:
     return got.where("n >= 2").select("doc_id", "src", "relation", "type", "n", F.transform("m", lambda x: x["dst"]).alias("members"))
 
 
+def earlier_max(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """The rows with `value` replaced by the largest value of the key's rows that come earlier in the order, null without any.
+
+    A key's rows are cut by the order into chunks, which are tasks of their own; the largest value of each chunk, one row, is
+    carried on to the later ones. So a document with very many mentions is no large task.
+    """
+    cut = rows.withColumn("__chunk", F.floor(F.col(order) / CHUNK))
+    ahead = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = cut.groupBy(*keys, "__chunk").agg(F.max(value).alias("__top")).withColumn("__top", F.max("__top").over(ahead))
+    inside = Window.partitionBy(*keys, "__chunk").orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
+    out = cut.withColumn(value, F.max(value).over(inside)).join(carried, [*keys, "__chunk"])
+    return out.withColumn(value, F.greatest(value, "__top")).select(*rows.columns)
+
+
 def resolve_mentions(triples: DataFrame, pronouns: tuple[str, ...] = PRONOUNS["en"]) -> DataFrame:
     """The triples with pronouns and last names replaced by names that appeared earlier in the document, and the distance in
     sentences to them (the larger of both ends; 0 if nothing was replaced).
@@ -106,15 +124,13 @@ def resolve_mentions(triples: DataFrame, pronouns: tuple[str, ...] = PRONOUNS["e
     empty = F.lit(None).cast("struct<len:int,nk:int,name:string,s:int>")
     asked = single.select("doc_id", "type", "last", "ord", F.lit(0).alias("intro"), empty.alias("best"), "k", "name", "sentence_idx")
     every = marks.withColumns({"best": F.col("best").cast("struct<len:int,nk:int,name:string,s:int>")}).unionByName(asked, allowMissingColumns=True)
-    w = Window.partitionBy("doc_id", "type", "last").orderBy("ord").rangeBetween(Window.unboundedPreceding, -1)
-    found = every.withColumn("best", F.max("best").over(w)).where("intro = 0").select("doc_id", "k", "name", "type", "ord", "sentence_idx", "best")
+    found = earlier_max(every, ["doc_id", "type", "last"], "ord", "best").where("intro = 0").select("doc_id", "k", "name", "type", "ord", "sentence_idx", "best")
     # Persons in order of introduction: names of several words, and single words that nothing explains.
     alone = found.where("best IS NULL").groupBy("doc_id", "name", "type").agg(F.min(F.struct("k", "ord", "sentence_idx")).alias("f")).select("doc_id", "name", "type", "f.*")
     people = intro.select("doc_id", "name", "type", "k", "ord", "sentence_idx").unionByName(alone).where(F.col("type").isin(*PERSON))
     pron = m.where("pronoun").select("doc_id", "ord", F.lit(0).alias("intro"), F.lit(None).cast("struct<k:int,name:string,type:string,s:int>").alias("who"), "k", "sentence_idx")
     intros = people.select("doc_id", "ord", F.lit(1).alias("intro"), F.struct(F.col("k").cast("int").alias("k"), "name", "type", F.col("sentence_idx").cast("int").alias("s")).alias("who"))
-    wp = Window.partitionBy("doc_id").orderBy("ord").rangeBetween(Window.unboundedPreceding, -1)
-    said = intros.unionByName(pron, allowMissingColumns=True).withColumn("who", F.max("who").over(wp)).where("intro = 0 AND who IS NOT NULL")
+    said = earlier_max(intros.unionByName(pron, allowMissingColumns=True), ["doc_id"], "ord", "who").where("intro = 0 AND who IS NOT NULL")
     fixes = found.where("best IS NOT NULL").select("doc_id", "k", F.col("best.name").alias("to"), "type", (F.col("sentence_idx") - F.col("best.s")).alias("distance"))
     fixes = fixes.unionByName(said.select("doc_id", "k", F.col("who.name").alias("to"), F.col("who.type").alias("type"), (F.col("sentence_idx") - F.col("who.s")).alias("distance")))
     s = fixes.where("k % 2 = 0").select("doc_id", F.expr("CAST(k / 2 AS INT)").alias("ord"), F.col("to").alias("s_to"), F.col("type").alias("s_type"), F.col("distance").alias("s_d"))

@@ -285,3 +285,13 @@ def test_chains_are_as_local_as_their_second_edge(spark):
     facts = _facts_of(spark, [("Acme", "ORG", "found", "Ann", "PERSON", "s", "founded", False, 0), ("Ann", "PERSON", "move_to", "Oslo", "GPE", "s", "moved", True, 3)])
     rows = Q.chain_questions(facts).collect()
     assert rows and all(abs(r["s_local"] - 1 / 3) < 1e-9 and r["s_vocab"] == 0.0 and r["hop_count"] == 2 for r in rows)
+
+
+def test_largest_earlier_value_over_chunks(spark, monkeypatch):
+    rows = [("a", i, (i * 7919) % 1000 if i % 3 else None) for i in range(200)] + [("b", 5, 1), ("b", 5, 9), ("b", 50, None)]
+    df = spark.createDataFrame(rows, "k STRING, o INT, v INT")
+    want = sorted((k, o, max((x for j, p, x in rows if j == k and p < o and x is not None), default=None)) for k, o, _ in rows if (k, o) != ("b", 5))
+    for chunk in (1, 7, 10_000):
+        monkeypatch.setattr(G, "CHUNK", chunk)
+        got = sorted(tuple(r) for r in G.earlier_max(df, ["k"], "o", "v").collect() if (r["k"], r["o"]) != ("b", 5))
+        assert [(k, o, -1 if v is None else v) for k, o, v in got] == [(k, o, -1 if v is None else v) for k, o, v in want]
