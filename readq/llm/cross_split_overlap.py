@@ -1,16 +1,16 @@
 """Same or near-same records across splits (problem 3).
 
 The distinct normalised passages of the evaluation splits are cut into shards of bounded size, by length, and written once into
-the shared folder. Each shard has an Aho-Corasick automaton over the signature words of its passages, and every distinct training
-text is scanned by the automata of the shards whose lengths fit. The intervals matched are merged into the coverage of each
-evaluation passage: how many of its signature words the text holds. Passages covered enough are compared exactly: the longest
-common subsequence of words must hold at least four fifths of the longer text.
+the shared folder. A word and the number of its occurrence in the text are a token, so texts are sets. A shard has a row of bits
+for each token, one bit for each passage, and an Aho-Corasick automaton over the words whose tokens have a row of their own.
+A task scans the words of all training texts it holds once with the automaton of every shard whose lengths fit, and adds up the
+rows of the tokens of a text as binary numbers, 64 passages at a time: how many of these tokens each passage holds. Passages
+that hold enough are compared exactly: the longest common subsequence of words must hold at least four fifths of the longer text.
 
-Which words are signatures makes the filter exact. A word and the number of its occurrence in the text are a token, so texts are
-sets. Near texts of n words lose no more than n - ceil(0.8 n) tokens each; so of the first n - ceil(0.8 n) + k tokens of each, in
-one order for both, they share at least k. Those tokens of a passage, rarest in the shard first, are its signature, tokens in no
-signature come last in the order, and k, the coverage asked for, grows with n. So no pair is left out, whatever was changed
-and however many copies of a passage there are.
+Near texts of n words lose no more than n - ceil(0.8 n) tokens each; so of any n - ceil(0.8 n) + k tokens of a text, a passage near
+it holds at least k. That filter is exact for any choice of tokens and any k: rare tokens are added up first, and k grows until few
+passages are left. Rare tokens of a shard share rows, which lets more passages through and never fewer. So no pair is left out,
+whatever was changed and however many copies of a passage there are.
 
 The questions of passages that belong together are compared in the same way, after an exact prefix filter: two texts that keep
 four fifths of their words share one of the first fifth (and one more) of their words in any fixed order. So neither records
@@ -27,6 +27,7 @@ import math
 import pickle
 import zlib
 from collections.abc import Iterator, Sequence
+from itertools import groupby
 
 import ahocorasick
 import numpy as np
@@ -43,18 +44,20 @@ from readq.llm.memo import Memo
 from readq.session import fresh_path, materialise
 
 KEPT = 0.8
-#: Of n words, two near texts are asked to have 1 + n // MET rare ones in common before they are compared; any number is exact.
-MET = 6
-#: So many meetings of a text's token and a passage that holds it are worked on at once.
-MEETINGS = 500_000
-#: So many training texts are scanned at once.
-TOGETHER = 500
-#: Words of all passages of a shard, about; it bounds the memory a shard takes.
-SHARD_WORDS = 1_000_000
+#: So many tokens are asked for at first, and as many more as long as more than LEFT words of 64 passages have one that holds enough.
+MET, LEFT = 8, 64
+#: Training texts whose lengths differ by less than this factor are looked for together.
+ALIKE = 1.05
+#: Bytes of bits that are worked on at once, so that they stay in a core's cache.
+AT_ONCE = 64_000
+#: Bits of tokens looked up at once where passages are left.
+LOOKED_UP = 2_000_000
+#: Words of all passages of a shard, about, and bytes of its rows of bits; they bound the memory a shard takes.
+SHARD_WORDS, ROW_BYTES = 3_000_000, 18_000_000
 #: Words rarer than one in so many are not counted for the order of the prefix filter.
 FREQUENT = 20_000
-#: Lengths within a band differ by this factor.
-BAND = 1.3
+#: Lengths within a band differ by this factor. Styles of passages are told apart by so many parts of a character a word, up to the last.
+BAND, STYLES, MOST_STYLES = 1.3, 20, 400
 #: A task holds so many characters of training texts while the shards pass.
 HELD_CHARS = 16_000_000
 
@@ -111,88 +114,193 @@ def tokens(owner: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return key >> 32, key & (1 << 32) - 1 | at - np.maximum.accumulate(np.where(fresh, at, 0)) << 32
 
 
-def signatures(sizes: np.ndarray, owner: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(met, owner, rank): of each text the tokens of lowest rank, so many that two near texts have `met` (the lesser of theirs) in common.
-    sizes: words of each text; tokens of a text that are not given come last in the order."""
-    need = fewest(sizes)
-    met = np.minimum(need, 1 + sizes // MET)
-    key = np.sort(owner << 32 | rank)
-    held = np.bincount(key >> 32, minlength=len(sizes))
-    at = np.arange(len(key)) - np.repeat(np.cumsum(held) - held, held)
-    key = key[at < np.repeat(sizes - need + met, held)]
-    return met, key >> 32, key & (1 << 32) - 1
+class Texts:
+    """Texts with their words and tokens, in the order of their lengths; of lengths that differ by less than `alike` those of shorter words first."""
+
+    def __init__(self, keys: list[bytes], texts: list[str], alike: float = 1):
+        sizes = np.fromiter((t.count(" ") + 1 for t in texts), np.int64, len(texts))
+        order = np.argsort(sizes, kind="stable")
+        if alike > 1:
+            self.band = np.floor(np.log(sizes) / math.log(alike) + 1e-9).astype(np.int64)
+            order = np.lexsort((np.fromiter(map(len, texts), np.int64, len(texts)) / sizes, self.band))
+            self.band = self.band[order]
+        self.keys, self.texts, self.sizes = [keys[i] for i in order], [texts[i] for i in order], sizes[order]
+        self.need = fewest(self.sizes)
+        vocabulary: dict[str, int] = {}
+        word = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for t in self.texts for w in t.split(" ")), np.int64, sizes.sum())
+        self.names = list(vocabulary)
+        owner, token = tokens(np.repeat(np.arange(len(texts)), self.sizes), word)
+        #: Different tokens, those of each text as places among them, the text of each, and the texts that hold a token.
+        self.known, where, self.count = np.unique(token, return_inverse=True, return_counts=True)
+        self.token, self.owner = where.astype(np.int32), owner.astype(np.int32)
+
+    def drawn(self) -> np.ndarray:
+        """A number drawn by a hash for each of the different tokens."""
+        drawn = np.fromiter((zlib.crc32(w.encode()) for w in self.names), np.int64, len(self.names))
+        return drawn[self.known & (1 << 32) - 1] + (self.known >> 32) * 2_654_435_761
+
+
+class Held(Texts):
+    """Training texts that are looked for in shards."""
+
+    def __init__(self, keys: list[bytes], texts: list[str]):
+        super().__init__(keys, texts, ALIKE)
+        self.start = np.cumsum(self.sizes) - self.sizes
+        #: The least and most words of the texts of about a text's length.
+        starts = np.flatnonzero(np.r_[True, self.band[1:] != self.band[:-1]])
+        many = np.diff(np.r_[starts, len(self.band)])
+        self.least, self.most = (np.repeat(f.reduceat(self.sizes, starts), many) for f in (np.minimum, np.maximum))
+        self.number = self.drawn()
+        self.words = f" {' '.join(self.names)} "
+        self.ends = np.cumsum(np.fromiter(map(len, self.names), np.int64, len(self.names)) + 1)
+
+
+def add(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(carry, sum) of three bits, for all bits at once."""
+    u = a ^ b
+    carry = a & b
+    carry |= u & c
+    u ^= c
+    return carry, u
+
+
+def tally(planes: list[np.ndarray], rows: list[np.ndarray], most: int) -> None:
+    """Add rows of bits to the binary numbers whose digits are the planes, lowest first; no number gets larger than `most`."""
+    for place in range(most.bit_length()):
+        if place == len(planes) and rows:
+            planes.append(rows.pop())
+        carried = []
+        while len(rows) > 1:
+            carry, planes[place] = add(planes[place], rows.pop(), rows.pop())
+            carried.append(carry)
+        if rows:
+            carried.append(planes[place] & rows[0])
+            planes[place] = planes[place] ^ rows.pop()
+        rows = carried
+
+
+def at_least(planes: list[np.ndarray], k: int) -> np.ndarray:
+    """Bits of the numbers that are k or more."""
+    if k >> len(planes):
+        return np.zeros_like(planes[0])
+    more, equal = np.zeros_like(planes[0]), ~np.zeros_like(planes[0])
+    for i in reversed(range(len(planes))):
+        if k >> i & 1:
+            equal &= planes[i]
+        else:
+            more |= equal & planes[i]
+            equal &= ~planes[i]
+    return more | equal
 
 
 class Shard:
-    """Some passages, their signatures by token, and the automaton over the words of all signatures."""
+    """Some passages in the order of their lengths, rows of bits that say which of them hold a token, and the automaton over the words
+    whose tokens have rows of their own."""
 
     def __init__(self, keys: list[bytes], texts: list[str]):
-        self.keys, self.texts = keys, texts
-        vocabulary: dict[str, int] = {}
-        split = [t.split(" ") for t in texts]
-        self.sizes = np.fromiter(map(len, split), np.int64, len(split))
-        word = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for ws in split for w in ws), np.int64, self.sizes.sum())
-        owner, token = tokens(np.repeat(np.arange(len(texts)), self.sizes), word)
-        known, where, count = np.unique(token, return_inverse=True, return_counts=True)
-        rank = np.empty(len(count), np.int64)
-        rank[np.argsort(count, kind="stable")] = np.arange(len(count))
-        self.met, owner, signed = signatures(self.sizes, owner, rank[where])
-        order = np.argsort(signed, kind="stable")
-        self.holders = owner[order].astype(np.int32)
-        self.start = np.searchsorted(signed[order], np.arange(len(count) + 1))
-        used = np.zeros(len(count), bool)
-        used[signed] = True
-        self.known, self.rank = known[used[rank]], rank[used[rank]]
-        names = list(vocabulary)
-        self.signs = [(names[w], w) for w in np.unique(self.known & (1 << 32) - 1).tolist()]
+        all_ = Texts(keys, texts)
+        self.keys, self.texts, self.sizes, self.need = all_.keys, all_.texts, all_.sizes, all_.need
+        width = -(-len(texts) // 64)
+        rows = max(64, ROW_BYTES // (8 * width))
+        own = np.arange(len(all_.known)) if len(all_.known) < rows else np.sort(np.argsort(-all_.count, kind="stable")[: rows * 3 // 4])
+        #: Tokens with a row of their own; the others share the rows behind these, and the last row is empty.
+        self.known, self.shared = all_.known[own], max(1, rows - len(own)) if len(own) < len(all_.known) else 1
+        drawn = all_.drawn()
+        row = len(own) + drawn % self.shared
+        row[own] = np.arange(len(own))
+        self.rare = np.unique(np.delete(drawn, own))
+        self.bits = np.zeros((len(own) + self.shared + 1, width), "<u8")
+        place = row[all_.token] * (8 * width) + (all_.owner >> 3)
+        np.bitwise_or.at(self.bits.view(np.uint8).ravel(), place, np.left_shift(1, all_.owner & 7).astype(np.uint8))
+        #: Passages of a row, as far as 16 bits can tell.
+        self.count = np.minimum(np.bitwise_count(self.bits).sum(axis=1), 65_534).astype(np.uint16)
+        self.signs = [(all_.names[w], w) for w in np.unique(self.known & (1 << 32) - 1).tolist()]
         self.automaton = None
 
-    def scan(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(owner, rank): the tokens of signatures that the automaton matches in each text."""
+    def rows(self, held: Held) -> np.ndarray:
+        """The row of each of the different tokens of the texts, whose words the automaton matches."""
         if self.automaton is None:
             self.automaton = ahocorasick.Automaton()
             for name, w in self.signs:
                 self.automaton.add_word(f" {name} ", w)
             self.automaton.make_automaton()
-        found = [[w for _, w in self.automaton.iter(f" {t} ")] for t in texts]
-        owner = np.repeat(np.arange(len(texts)), np.fromiter(map(len, found), np.int64, len(texts)))
-        owner, token = tokens(owner, np.fromiter((w for x in found for w in x), np.int64, len(owner)))
-        at = np.minimum(np.searchsorted(self.known, token), len(self.known) - 1)
-        signed = self.known[at] == token
-        return owner[signed], self.rank[at[signed]]
-
-    def candidates(self, sizes: np.ndarray, owner: np.ndarray, rank: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(text, passage): every pair that may be near, as the text covers enough of the passage's signature."""
-        met, owner, rank = signatures(sizes, owner, rank)
-        many = self.start[rank + 1] - self.start[rank]
-        ends = np.cumsum(many)
-        i, width = 0, len(self.keys)
-        while i < len(owner):
-            j = np.searchsorted(ends, ends[i] - many[i] + MEETINGS, "right")
-            # All tokens of a text stay together; a text alone meets no more than the shard holds.
-            j = np.searchsorted(owner, owner[j]) if j < len(owner) else j
-            j = j if j > i else np.searchsorted(owner, owner[i], "right")
-            n, first, last = many[i:j], owner[i], owner[j - 1]
-            place = np.repeat(self.start[rank[i:j]] - (np.cumsum(n) - n), n)
-            place += np.arange(len(place))
-            pair = np.repeat((owner[i:j] - first) * width, n)
-            pair += self.holders[place]
-            cells = (last - first + 1) * width
-            if cells <= 4 * len(pair):
-                covered = np.bincount(pair, minlength=cells).reshape(-1, width)
-                text, passage = np.nonzero(covered >= np.minimum.outer(met[first : last + 1], self.met))
-                text += first
+        found = np.array(list(self.automaton.iter(held.words)), np.int64).reshape(-1, 2)
+        number = np.full(len(held.names), -1)
+        number[np.searchsorted(held.ends, found[:, 0])] = found[:, 1]
+        number = number[held.known & (1 << 32) - 1]
+        key = np.where(number < 0, -1, held.known >> 32 << 32 | number)
+        at = np.minimum(np.searchsorted(self.known, key), len(self.known) - 1)
+        there = np.minimum(np.searchsorted(self.rare, held.number), max(0, len(self.rare) - 1))
+        there = self.rare[there] == held.number if len(self.rare) else np.zeros(len(there), bool)
+        return np.where(self.known[at] == key, at, np.where(there, len(self.known) + held.number % self.shared, len(self.bits) - 1))
+
+    def candidates(self, held: Held, first: int, last: int) -> Iterator[tuple[int, list[int]]]:
+        """(text, passages) for the texts from first to last: every pair that may be near, as the passage holds enough tokens of the text."""
+        row = self.rows(held)
+        # Texts that have more tokens than they may lose which no passage holds are done.
+        before = np.r_[0, np.cumsum(row[held.token[held.start[first] : held.start[last - 1] + held.sizes[last - 1]]] == len(self.bits) - 1)]
+        at = held.start[first:last] - held.start[first]
+        texts = first + np.flatnonzero(before[at + held.sizes[first:last]] - before[at] <= held.sizes[first:last] - held.need[first:last])
+        # Of the passages, those that fit a text are left to right in words of 64.
+        left = np.searchsorted(self.sizes, fewest(held.least[texts])) // 64
+        right = -(-np.searchsorted(self.need, held.most[texts], "right") // 64)
+        #: Sorts tokens by the passages that hold them.
+        key = self.count[row].astype(np.int64) << 32 | row
+        i = 0
+        while i < len(texts):
+            taken = right[i : i + AT_ONCE // 8] - left[i]
+            n = max(1, int(np.searchsorted(taken * np.arange(1, len(taken) + 1), AT_ONCE // 8, "right")))
+            if taken[n - 1] > 0:
+                yield from self._of_some(held, key, texts[i : i + n], int(left[i]), int(right[i + n - 1]))
+            i += n
+
+    def _of_some(self, held: Held, key: np.ndarray, texts: np.ndarray, left: int, right: int) -> Iterator[tuple[int, list[int]]]:
+        bits, need, empty = self.bits[:, left:right], int(fewest(held.least[texts[0]])), len(self.bits) - 1
+        start, sizes = held.start[texts, None], held.sizes[texts, None]
+        lost = sizes - held.need[texts, None]
+        # The rows of each text's tokens, those of the fewest passages first.
+        at = np.arange(int(sizes.max()))
+        rows = key[held.token[np.minimum(start + at, len(held.token) - 1)]]
+        rows[at >= sizes] = 1 << 62 | empty
+        rows.sort(axis=1)
+        rows &= (1 << 32) - 1
+        planes = [np.zeros((len(texts), right - left), "<u8")]
+        # Of as many tokens as a text may lose and `met` more, `met` must be there.
+        added = met = 0
+        while True:
+            more = min(MET, need - met)
+            if met:
+                chosen = np.take_along_axis(rows, lost + met + np.arange(more), axis=1)
             else:
-                pair.sort()
-                at = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]][: len(pair)])
-                text, passage = np.divmod(pair[at], width)
-                text += first
-                enough = np.diff(np.r_[at, len(pair)]) >= np.minimum(met[text], self.met[passage])
-                text, passage = text[enough], passage[enough]
-            a, b = sizes[text], self.sizes[passage]
-            fit = np.minimum(a, b) >= KEPT * np.maximum(a, b)
-            yield from zip(text[fit].tolist(), passage[fit].tolist())
-            i = j
+                at = np.arange(int(lost.max()) + more)
+                chosen = np.where(at < lost + more, rows[:, : len(at)], empty)
+            met += more
+            chosen = chosen[:, (chosen != empty).any(axis=0)]
+            for i in range(0, chosen.shape[1], 16):
+                some = chosen[:, i : i + 16].T
+                added += len(some)
+                tally(planes, [bits[x] for x in some], added)
+            enough = at_least(planes, met).ravel()
+            words = np.flatnonzero(enough)
+            if len(words) <= LEFT or met == need:
+                break
+        i, bit = np.nonzero(np.unpackbits(enough[words].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+        text, passage = np.divmod(words[i], right - left)
+        passage = (passage + left) * 64 + bit
+        inside = passage < len(self.keys)
+        text, passage = texts[text[inside]], passage[inside]
+        columns = self.bits.view(np.uint8)
+        for x in np.unique(text).tolist():
+            n, c = int(held.sizes[x]), passage[text == x]
+            c = c[(self.sizes[c] >= held.need[x]) & (self.need[c] <= n)]
+            own, step = key[held.token[held.start[x] : held.start[x] + n], None] & (1 << 32) - 1, max(1, LOOKED_UP // n)
+            kept: list[int] = []
+            for j in range(0, len(c), step):
+                some = c[j : j + step]
+                shared = (columns[own, some >> 3] >> (some & 7).astype(np.uint8) & 1).sum(axis=0, dtype=np.int64)
+                kept += some[shared >= np.maximum(held.need[x], self.need[some])].tolist()
+            if kept:
+                yield x, kept
 
     def same(self, c: int, text: str, coded: str, own: set[str], symbols: Symbols) -> bool:
         """Whether the text is the same as passage c, or nearly. coded, own: the text as symbols, and these as a set."""
@@ -268,24 +376,36 @@ def passage_links(records: DataFrame) -> DataFrame:
     spark = records.sparkSession
     length = F.size(F.split("passage", " "))
     evals = records.where("role = 'E' AND passage IS NOT NULL").groupBy("k").agg(F.first("passage").alias("passage"))
-    evals = materialise(evals.withColumn("n", length).withColumn("band", F.floor(F.log("n") / math.log(BAND)).cast("int")), "evals")
-    # One row for each band; their number grows as the logarithm of the lengths.
-    bands = {r["band"]: (r["words"], r["least"], r["most"]) for r in evals.groupBy("band").agg(F.sum("n").alias("words"), F.min("n").alias("least"), F.max("n").alias("most")).collect()}
-    if not bands:
+    evals = evals.withColumn("n", length).withColumn("band", F.floor(F.log("n") / math.log(BAND)).cast("int"))
+    evals = materialise(evals.withColumn("style", F.least(F.floor(F.length("passage") * STYLES / F.col("n")), F.lit(MOST_STYLES)).cast("int")), "evals")
+    # One row for each band and style; bands grow as the logarithm of the lengths.
+    cells = evals.groupBy("band", "style").agg(F.sum("n").alias("words"), F.min("n").alias("least"), F.max("n").alias("most")).collect()
+    if not cells:
         return spark.createDataFrame([], "tk BINARY, ek BINARY")
     shards: list[tuple[int, int, int]] = []  # number, least and most words
-    part = F.lit(0)
-    for band, (words, least, most) in sorted(bands.items()):
-        parts = -(-words // SHARD_WORDS)
-        part = F.when(F.col("band") == band, F.lit(len(shards)) + F.pmod(F.xxhash64("k"), F.lit(parts))).otherwise(part)
-        shards += [(len(shards) + i, least, most) for i in range(parts)]
+    parts: list[tuple[int, int, int, int]] = []  # band, style, first shard, shards
+    for band, of_band in groupby(sorted(cells, key=lambda r: (r["band"], r["style"])), lambda r: r["band"]):
+        # Styles of few words have one shard, one of many words has several.
+        full = SHARD_WORDS
+        for r in of_band:
+            n = -(-r["words"] // SHARD_WORDS)
+            if n > 1 or full + r["words"] > SHARD_WORDS:
+                shards += [(len(shards) + i, r["least"], r["most"]) for i in range(n)]
+                full = SHARD_WORDS if n > 1 else r["words"]
+            else:
+                number, least, most = shards[-1]
+                shards[-1] = number, min(least, r["least"]), max(most, r["most"])
+                full += r["words"]
+            parts.append((band, r["style"], len(shards) - n, n))
+    part = F.broadcast(spark.createDataFrame(parts, "band INT, style INT, first INT, parts INT"))
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         shard = Shard([bytes(k) for k in rows["k"]], rows["passage"].tolist())
         return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])], "content": [pickle.dumps(shard, protocol=5)]})
 
     path = fresh_path(spark, "shards")
-    evals.select("k", "passage", part.cast("int").alias("shard")).groupBy("shard").applyInPandas(build, "shard INT, content BINARY").write.partitionBy("shard").parquet(path)
+    dealt = evals.join(part, ["band", "style"]).select("k", "passage", (F.col("first") + F.pmod(F.xxhash64("k"), F.col("parts"))).cast("int").alias("shard"))
+    dealt.groupBy("shard").applyInPandas(build, "shard INT, content BINARY").write.partitionBy("shard").parquet(path)
 
     def load(number: int) -> Shard | None:
         fs, root = pafs.FileSystem.from_uri(path)
@@ -295,27 +415,21 @@ def passage_links(records: DataFrame) -> DataFrame:
                     return pickle.loads(value.as_buffer())
         return None
 
-    def scan_held(held: list[tuple[bytes, str]]) -> pa.RecordBatch:
+    def scan_held(texts: list[tuple[bytes, str]]) -> pa.RecordBatch:
         left, right = [], []
         symbols = Symbols()
-        keys, texts = [k for k, _ in held], [t for _, t in held]
-        sizes = np.fromiter((t.count(" ") + 1 for t in texts), np.int64, len(texts))
+        held = Held([k for k, _ in texts], [t for _, t in texts])
         for number, least, most in shards:
-            fit = np.flatnonzero((sizes >= KEPT * least) & (sizes <= most / KEPT))
-            shard = load(number) if len(fit) else None
+            first, last = np.searchsorted(held.sizes, KEPT * least - 1e-9), np.searchsorted(held.sizes, most / KEPT + 1e-9, "right")
+            shard = load(number) if first < last else None
             if shard is None:
                 continue
-            for i in range(0, len(fit), TOGETHER):
-                chosen = fit[i : i + TOGETHER]
-                owner, rank = shard.scan([texts[t] for t in chosen])
-                last, coded, own = -1, "", set()
-                for x, c in shard.candidates(sizes[chosen], owner, rank):
-                    t = chosen[x]
-                    if t != last:
-                        last, coded = t, symbols.code(texts[t])
-                        own = set(coded)
-                    if shard.same(c, texts[t], coded, own, symbols):
-                        left.append(keys[t])
+            for t, passages in shard.candidates(held, int(first), int(last)):
+                coded = symbols.code(held.texts[t])
+                own = set(coded)
+                for c in passages:
+                    if shard.same(c, held.texts[t], coded, own, symbols):
+                        left.append(held.keys[t])
                         right.append(shard.keys[c])
         return pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["tk", "ek"])
 
